@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import quality_rules, secrets, simhash
+from graphloom.llm import decontam, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op3_decontamination": decontam.query,
     "op8_secrets": secrets.query,
     "op10_quality_rules": quality_rules.query,
 }
