@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontam, quality_rules, secrets, simhash
+from graphloom.llm import bpe, decontam, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_decontamination": decontam.query,
     "op8_secrets": secrets.query,
+    "op9_bpe": bpe.query,
     "op10_quality_rules": quality_rules.query,
 }
 
