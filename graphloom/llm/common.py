@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import ship
+
 CHUNK = 1 << 20
 
 
@@ -54,6 +56,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only what the operators read, so that other columns cannot clash."""
+    ship(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more
     )
@@ -157,6 +160,19 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of the bytes, such as openings of words."""
+        return self.hashed(self.bytes, start, end)
+
+    @staticmethod
+    def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each stretch: a polynomial in its bytes, from sums over all of them, mixed."""
+        n = len(raw)
+        up, down = _power(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        return mix((sums[end] - sums[start]) * down[start])
+
 
 def words(t: Texts, a: int, b: int, kind: np.ndarray, lower: bool = True) -> Words:
     """Maximal runs of bytes of ``kind`` in rows a to b, A-Z lower-cased, with 64-bit hashes."""
@@ -174,11 +190,7 @@ def words(t: Texts, a: int, b: int, kind: np.ndarray, lower: bool = True) -> Wor
     begins[cuts] = inside[1:-1][cuts]
     ends[cuts - 1] = inside[1:-1][cuts - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _power(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start])
-    return Words(raw, start, end, h, np.searchsorted(start, bounds))
+    return Words(raw, start, end, Words.hashed(raw, start, end), np.searchsorted(start, bounds))
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
