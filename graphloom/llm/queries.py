@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, decontam, langid, license_scan, quality_model, quality_rules, secrets, simhash
+from graphloom.llm import bpe, decontam, langid, license_scan, pii, quality_model, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_decontamination": decontam.query,
+    "op4_pii": pii.query,
     "op5_quality_model": quality_model.query,
     "op6_language_id": langid.query,
     "op7_license_scan": license_scan.query,
