@@ -79,9 +79,9 @@ class Texts:
     def row(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def chunks(self, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    def chunks(self, size: int = CHUNK, begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
         """Ranges of rows of about ``size`` bytes; a longer text is a range of its own."""
-        first, n = 0, len(self)
+        first, n = begin, len(self) if end is None else end
         while first < n:
             last = int(np.searchsorted(self.offsets, self.offsets[first] + size, side="right")) - 1
             last = min(max(last, first + 1), n)

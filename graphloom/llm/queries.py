@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, decontam, langid, license_scan, pii, quality_model, quality_rules, secrets, simhash
+from graphloom.llm import bpe, decontam, langid, license_scan, lm, pii, quality_model, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_language_model": lm.query,
     "op3_decontamination": decontam.query,
     "op4_pii": pii.query,
     "op5_quality_model": quality_model.query,
