@@ -204,28 +204,30 @@ def _posterior(prior: float, ratio: list[dict[int, float]], votes: list[int]) ->
     return 1 / (1 + np.exp(-np.clip(prior + sum(r[v] for r, v in zip(ratio, votes, strict=True)), -50, 50)))
 
 
-def fit(x_rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights over DIMENSIONS and bias of a logistic scorer on soft labels y.
+def fit(features: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights over DIMENSIONS and bias of a logistic scorer: the distinct features of each document, and soft labels y.
 
     Only features whose rates in the two classes differ by CONFIDENT standard
-    errors get a weight, so that words of a single document cannot.
+    errors get a weight, so that words of a single document cannot.  Documents
+    are counted one after another; only the chosen features are held together.
     """
     n, weight = len(y), np.zeros(DIMENSIONS, np.float32)
-    good = y.sum()
+    good = float(y.sum())
     if not n or good < 1 or n - good < 1:
         return weight, float(np.clip(np.log((good + 0.5) / (n - good + 0.5)), -8, 8))
-    pair = np.unique(x_rows * DIMENSIONS + x)
-    x_rows, x = pair // DIMENSIONS, pair % DIMENSIONS
-    have = np.bincount(x, minlength=DIMENSIONS)
-    on_good = np.bincount(x, y[x_rows], DIMENSIONS)
-    on_bad = have - on_good
+    have, on_good = np.zeros(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32)
+    for own, label in zip(features, y, strict=True):
+        have[own] += 1
+        on_good[own] += label
     p = have / n
-    z = np.abs(on_good / good - on_bad / (n - good)) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / good + 1 / (n - good)))
-    chosen = np.flatnonzero((z >= CONFIDENT) & (have >= 5))
-    number = np.full(DIMENSIONS, -1)
+    apart = np.abs(on_good / good - (have - on_good) / (n - good))
+    chosen = np.flatnonzero((have >= 5) & (apart >= CONFIDENT * np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / good + 1 / (n - good)))))
+    number = np.full(DIMENSIONS, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
-    keep = number[x] >= 0
-    x_rows, x = x_rows[keep], number[x[keep]]
+    kept = [number[own] for own in features]
+    kept = [own[own >= 0] for own in kept]
+    x_rows = np.repeat(np.arange(n), [len(own) for own in kept])
+    x = np.concatenate(kept)
     w, b = np.zeros(len(chosen)), float(np.log(good / (n - good)))
     scale, scale_b = np.full(len(chosen), 1e-8), 1e-8
     class_weight = np.where(y > 0.5, 0.5 * n / good, 0.5 * n / (n - good))  # both classes count alike
@@ -283,9 +285,7 @@ def train(docs: DataFrame, labels: DataFrame | None) -> list[tuple[np.ndarray, f
                 )
 
     found = sample.mapInArrow(run, f"x binary, votes {_VOTES}, insults long, toxic int").collect()
-    features = [np.frombuffer(r["x"], np.uint32).astype(np.int64) for r in found]
-    x = np.concatenate(features) if features else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    features = [np.frombuffer(r["x"], np.uint32) for r in found]
     good = np.array([_posterior(prior, ratio, r["votes"]) for r in found], float)
     # toxicity: the list and the labels vote on being clean; where both abstain a document says nothing
     cast: dict[tuple[int, ...], int] = {}
@@ -299,21 +299,24 @@ def train(docs: DataFrame, labels: DataFrame | None) -> list[tuple[np.ndarray, f
     # the labels are given, not guessed: they decide where they speak
     toxic = np.array([(v[1] < 0) if v[1] else 1 - _posterior(clean_prior, clean_ratio, v) for v in ballots], float)
     spoken = np.array([bool(v[1]) or v[0] < 0 for v in ballots], bool)
-    some = spoken[rows] if len(rows) else np.zeros(0, bool)
-    order = np.cumsum(spoken) - 1
-    return [fit(rows, x, good), fit(order[rows[some]], x[some], toxic[spoken])]
+    return [fit(features, good), fit([f for f, s in zip(features, spoken, strict=True) if s], toxic[spoken])]
 
 
 def score(docs: DataFrame, heads: list[tuple[np.ndarray, float]]) -> DataFrame:
     """doc_id, quality, toxicity, kept of every whole text."""
+    given = [(np.flatnonzero(weight), weight[weight != 0], bias) for weight, bias in heads]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = []
+        for at, weight, bias in given:
+            dense.append((np.zeros(DIMENSIONS, np.float32), bias))
+            dense[-1][0][at] = weight
         for batch in batches:
             t = texts(batch.column(1))
-            out = np.zeros((len(heads), len(t)))
+            out = np.zeros((len(dense), len(t)))
             for a, b in t.chunks():
                 rows, x = Chunk(t, a, b).features()
-                for k, (weight, bias) in enumerate(heads):
+                for k, (weight, bias) in enumerate(dense):
                     hit = np.flatnonzero(weight[x])
                     pair = np.unique(rows[hit] * DIMENSIONS + x[hit])  # each feature counts once in a row
                     s = np.bincount(pair // DIMENSIONS, weight[pair % DIMENSIONS], b - a) + bias

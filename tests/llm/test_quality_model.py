@@ -54,12 +54,11 @@ def test_cases(spark):
 def test_scorer_gives_weight_to_what_tells_classes_apart():
     rng = np.random.default_rng(0)
     y = (rng.random(600) < 0.3).astype(float)
-    rows = np.concatenate([np.flatnonzero(y == 1), np.arange(600), np.arange(600)])
-    x = np.concatenate([np.full(int(y.sum()), 5), np.full(600, 9), 100 + np.arange(600)])
-    weight, bias = quality_model.fit(rows, x, y)
+    features = [np.array([9, 100 + i, *([5] if label else [])], np.uint32) for i, label in enumerate(y)]
+    weight, bias = quality_model.fit(features, y)
     assert weight[5] > 1 and weight[9] == 0 and not weight[100:700].any() and bias < 0
 
 
 def test_one_class_gives_a_constant():
-    weight, bias = quality_model.fit(np.zeros(3, int), np.arange(3), np.ones(1))
+    weight, bias = quality_model.fit([np.arange(3, dtype=np.uint32)], np.ones(1))
     assert not weight.any() and bias > 0
