@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,20 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path(root.name) / p.relative_to(root)))
     sc.addPyFile(str(archive))
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only where that is unset, a folder of our own."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: lost executors do not lose it, and the plans of loops stay short."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
