@@ -1,4 +1,4 @@
-"""Schemas of the base tables, value domains and transition tables.
+"""Schemas of the base tables (as DDL, which needs no session), value domains and transition tables.
 
 The lists below are fixed values of the data model.
 """
@@ -6,29 +6,28 @@ The lists below are fixed values of the data model.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
-NODES = T.StructType.fromDDL(
+NODES = (
     "id string, node_type string, name string, file_path string, start_line int, end_line int, signature string, "
     "is_exported boolean, complexity string, is_async boolean, visibility string, is_abstract boolean, "
     "decorators array<string>, migration_status string, migration_priority int, rust_kind string, rust_path string, "
     "crate_name string"
 )
-EDGES = T.StructType.fromDDL(
+EDGES = (
     "source string, target string, edge_type string, provenance string, weight double, sub_kind string, "
     "mapping_notes string, used_symbols array<string>"
 )
-FINGERPRINTS = T.StructType.fromDDL("file_path string, content_hash string, structure_hash string, analyzed_at timestamp")
-METADATA = T.StructType.fromDDL("key string, value string")
-MODULES = T.StructType.fromDDL(
+FINGERPRINTS = "file_path string, content_hash string, structure_hash string, analyzed_at timestamp"
+METADATA = "key string, value string"
+MODULES = (
     "module string, status string, substatus string, sprint int, test_pass_rate string, coverage int, "
     "known_differences int, tier string, phase_a_version string, phase_a_audit_passed boolean, blocked_by array<string>, "
     "pre_blocked_status string, member_files array<string>, composite_kind string, decomposition_snapshot string, "
     "decomposition_frozen boolean, danger array<string>, danger_provenance string"
 )
-ATTEMPTS = T.StructType.fromDDL("module string, seq int, ts timestamp, result string, retry_count int, checkpoint string")
-STATE_HISTORY = T.StructType.fromDDL("seq int, state string, entered_at timestamp, exited_at timestamp")
-WARNINGS = T.StructType.fromDDL("subject string, code string, detail string")
+ATTEMPTS = "module string, seq int, ts timestamp, result string, retry_count int, checkpoint string"
+STATE_HISTORY = "seq int, state string, entered_at timestamp, exited_at timestamp"
+WARNINGS = "subject string, code string, detail string"
 
 DOMAINS = {
     "node_type": (
