@@ -110,6 +110,10 @@ def _joined(found):
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
 
 
+def _of_rank(k: int):
+    return lambda x: x["rank"] == k
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = findings(docs, table(update(docs)))
@@ -117,7 +121,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id",
         *[
-            F.size(F.filter("found", lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{kind}")
+            F.size(F.filter("found", _of_rank(k))).cast("long").alias(f"n_{kind}")
             for k, kind in enumerate(BASE)
         ],
         F.sha2(_joined(base), 256).alias("base_sha256"),

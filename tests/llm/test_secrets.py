@@ -61,6 +61,7 @@ def test_base_digest(spark, tmp_path):
     for r in secrets.query(spark, str(tmp_path)).collect():
         base = ",".join(x for x in r.spans.split(",") if x.split(":")[0] in BASE)
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x.startswith(f"{k}:") for x in base.split(",")) for k in BASE]
 
 
 def test_ledger_scans_only_what_is_new(spark):

@@ -112,3 +112,10 @@ def test_other_columns_do_not_clash(spark):
     more = docs.selectExpr("*", "1 as fp", "2 as component_id", "3 as root", "'x' as __n", "4 as node")
     assert simhash.near_duplicates(more).count() == docs.count()
     assert simhash.keep_one(more).columns == more.columns
+
+
+def test_query_format(spark, tmp_path):
+    docs = documents(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.fingerprint) for r in simhash.query(spark, str(tmp_path)).collect())
+    assert got == sorted((str(r.doc_id), f"{brute_fingerprint(r.text):016x}") for r in docs.collect())
