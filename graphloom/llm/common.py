@@ -50,6 +50,11 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def side(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """The small side of a join: broadcast if it has at most ``most`` rows, which are counted, else merged."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LETTERS, Texts, Words, documents, grams, id_text, signed, table, texts, words
+from graphloom.llm.common import LETTERS, Texts, Words, documents, grams, id_text, side, signed, table, texts, words
 
 WINDOW = 10
 K = 6
@@ -206,7 +206,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     go when the text of one of them is hit."""
     found = contamination(docs, items).where("n_hit > 0")
     bad = found.select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(side(table(bad)), F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NOT_SPACE, Texts, Words, documents, hash_bytes, id_text, mix, table, texts, words
+from graphloom.llm.common import NOT_SPACE, Texts, Words, documents, hash_bytes, id_text, mix, side, table, texts, words
 from graphloom.llm.quality_rules import estimate
 
 DIMENSIONS = 1 << 20
@@ -341,7 +341,7 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     when one of them is.
     """
     bad = classify(docs, labels).where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(table(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(side(table(bad)), F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
