@@ -160,3 +160,12 @@ def roots_overlap(a: str | None, b: str | None) -> bool:
         return False
     a, b = a.rstrip("/") + "/", b.rstrip("/") + "/"
     return a.startswith(b) or b.startswith(a)
+
+
+TIERS = ("trivial", "standard", "full")
+
+
+def run_rules(rules: list[tuple[str, str, object]], tier: str) -> list[tuple[str, str, list[str]]]:
+    """(name, tier, problems) of the rules of all tiers up to one; a rule is (name, tier, callable that lists problems)."""
+    upto = TIERS.index(tier)
+    return [(name, own, list(check())) for name, own, check in rules if TIERS.index(own) <= upto]
