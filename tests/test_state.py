@@ -290,3 +290,20 @@ def test_evidence_goes_to_the_longest_name(spark):
     assert {(r.module, r.path, r.kind) for r in gate.evidence(f, m).collect()} == {
         ("file:src/a.ts", "d/a-intent.md", "intent"), ("file:src/a-b.ts", "d/a-b-intent.md", "intent"),
     }
+
+
+def test_small_reports(spark):
+    from graphloom.functions import scalar
+
+    m = spark.createDataFrame([("file:src/a/x.ts",), ("file:lib/x.py",), ("file:src/y.ts",)], "module string")
+    assert {(r.module, r.sibling) for r in gate.ambiguous_siblings(m).collect()} == {("file:src/a/x.ts", "file:lib/x.py"), ("file:lib/x.py", "file:src/a/x.ts")}
+    cycles = spark.createDataFrame([(["a", "b", "c"],)], "members array<string>")
+    edges = spark.createDataFrame([("a", "s", "exports"), ("b", "t", "exports"), ("b", "u", "exports"), ("c", "a", "imports")], "source string, target string, edge_type string")
+    assert quality.cycle_break_point(cycles, edges).first().node == "c"
+    assert validate.config_problems({"coverage_threshold": 101, "max_retries_per_step": 2}) and not validate.config_problems({"coverage_threshold": 80})
+    assert validate.roots_overlap("/a/b", "/a/b/c") and not validate.roots_overlap("/a/b", "/a/bc")
+    n = spark.createDataFrame([(0,), (3,), (4,), (11,)], "n int").select("n", scalar.ffi_effort(F.col("n")).alias("f"), scalar.skip_effort(F.col("n")).alias("s"))
+    assert {r.n: (r.f, r.s) for r in n.collect()} == {0: ("low", "low"), 3: ("low", "medium"), 4: ("medium", "high"), 11: ("high", "high")}
+    pairs = spark.createDataFrame([("m", 10, 0, 2, 20, 3, 4)], "module string, source_code int, source_functions int, source_nesting int, target_code int, target_functions int, target_nesting int")
+    row = quality.structure_ratios(pairs).first()
+    assert (row.code_ratio, row.functions_ratio, row.nesting_ratio) == (2.0, None, 2.0)
