@@ -152,7 +152,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     seen = None
     while True:
-        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("s")).first()
+        state = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("s")).first()
         if state["n"] == 0 or state == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state

@@ -134,3 +134,37 @@ def test_training_lowers_the_loss():
         p = lm.train(p, v, ids, first)
     after = lm.score_rows(p, v, ids, first).sum()
     assert after > 0.7 * before
+
+
+def test_back_propagation_against_differences(monkeypatch):
+    monkeypatch.setattr(lm, "_FLOAT", np.float64)
+    found = ["a b c d e f a b", "b c d", "c a b e"] * 3
+    v, ids, first = tiny([*found, *sentences()])
+    n = len(found)
+    ids, first = ids[: first[n]], first[: n + 1]
+    p = {k: x.astype(np.float64) for k, x in lm.start(v, 3).items()}
+    seen = []
+    monkeypatch.setattr(lm, "_update", lambda x, scale, where, d, rate: seen.append((x.shape, where, d.copy())))
+    lm.train(p, v, ids, first)  # one window: nothing is cut off, nothing is changed
+    scale = n
+
+    def slope(name, at):
+        kept = p[name][at]
+        p[name][at] = kept + 1e-5
+        up = lm.score_rows(p, v, ids, first).sum()
+        p[name][at] = kept - 1e-5
+        down = lm.score_rows(p, v, ids, first).sum()
+        p[name][at] = kept
+        return -(up - down) / 2e-5
+
+    dense = {shape: d for shape, where, d in seen if where is None}
+    rng = np.random.default_rng(5)
+    for name in ("gates", "gate_bias", "class", "class_bias"):
+        for _ in range(6):
+            at = tuple(rng.integers(k) for k in p[name].shape)
+            assert slope(name, at) == pytest.approx(scale * dense[p[name].shape][at], abs=1e-4)
+    shape, where, d = next(x for x in seen if x[0] == (v.ids + 1, 3 * lm.HIDDEN))
+    for row in range(len(where)):
+        at = int(rng.integers(3 * lm.HIDDEN))
+        real = slope("first", (at,)) if where[row] == v.ids else slope("input", (int(where[row]), at))
+        assert real == pytest.approx(scale * d[row, at], abs=1e-4)
