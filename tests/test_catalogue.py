@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from graphloom.plans import catalogue
+from graphloom.plans import catalogue, sources  # noqa: F401
 from graphloom.plans.lenses import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
