@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -67,6 +68,15 @@ def vocabulary(name: str = VOCABULARY) -> bytes:
         return f.read()
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100, where none is odd."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -98,14 +108,14 @@ class Encoder:
 
         for name, spelling in spelled.items():
             add(name, spelling, None)
-        self.merge: dict[tuple[int, int], int] = {}
+        self.merge: dict[int, int] = {}
         for pair in model["merges"]:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b = rank[left], rank[right]
             if left + right in rank:
                 raise ValueError(f"two merges make {left + right!r}")
             add(left + right, self.spelling[a] + self.spelling[b], (a, b))
-            self.merge[a, b] = rank[left + right]
+            self.merge[a << 20 | b] = rank[left + right]
         self.size = [len(s) for s in self.spelling]
         by_spelling = {s: k for k, s in enumerate(self.spelling)}
         self.shorter = [
@@ -115,7 +125,9 @@ class Encoder:
         for k, s in enumerate(self.spelling):
             self.automaton.add_word(s, (k, len(s)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.packed = [i.to_bytes(4, "little") for i in self.ids]
+        self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         # special tokens stand in the raw text; decoding joins token texts with spaces
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -126,6 +138,9 @@ class Encoder:
         )
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(pattern).findall
+        # the same classes among ASCII characters, for the faster of the two regex modules
+        narrow = pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r" \t\n\x0B\f\r")
+        self.find_ascii = re.compile(narrow).findall
         later = "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER)
         exact = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}][{later}]]")
         exact = exact.replace(r"[\p{L}]", rf"[\p{{L}}--[{later}]]").replace(r"|[\p{N}]", rf"|[\p{{N}}--[{later}]]")
@@ -139,77 +154,92 @@ class Encoder:
         self.offset = np.cumsum(self.length) - self.length
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The parts of a token along its border, outermost last part first: (part, rank that consumes it)."""
-        out, consumed = [], _FOREVER
-        while True:
-            out.append((token, consumed))
-            if self.parts[token] is None:
-                return out
-            consumed, token = token, self.parts[token][side]
+        """The parts of a token along its border, the whole first: (part, rank that consumes it)."""
+        out = self.edges.get((token, side))
+        if out is None:
+            out, part, consumed = [], token, _FOREVER
+            while True:
+                out.append((part, consumed))
+                if self.parts[part] is None:
+                    break
+                consumed, part = part, self.parts[part][side]
+            self.edges[token, side] = out
+        return out
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether BPE leaves a followed by b as they are.
+        """Whether BPE leaves a followed by b as they are; looked up in the table, or worked out for it.
 
         A merge across the border happens if both of its sides stand there at
         its turn: made before it and not yet consumed.  At the same turn the
         leftmost place goes first.
         """
-        known = self.pairs.get((a, b))
+        key = a << 20 | b
+        known = self.pairs.get(key)
         if known is None:
-            merge, right = self.merge, self._edge(b, 0)
+            merge, right = self.merge.get, self._edge(b, 0)
             known = True
             for x, x_gone in self._edge(a, 1):
+                x <<= 20
                 for y, y_gone in right:
-                    m = merge.get((x, y))
+                    m = merge(x | y)
                     if m is not None and m < x_gone and m <= y_gone:
                         known = False
             if len(self.pairs) >= PAIR_CACHE:
                 self.pairs.clear()
-            self.pairs[a, b] = known
+            self.pairs[key] = known
         return known
 
     def word(self, piece: str) -> list[int]:
         """Ranks of the tokens of one pre-token."""
-        raw = piece.encode()
-        plain = self.plain
-        spelled = "".join([plain[b] for b in raw[:-1]]) + chr(ord(plain[raw[-1]]) + _END)
-        n, size, shorter = len(spelled), self.size, self.shorter
+        if piece.isascii() and piece.isprintable():  # such characters stand for themselves
+            spelled = piece[:-1] + chr(ord(piece[-1]) + _END)
+        else:
+            raw, plain = piece.encode(), self.plain
+            spelled = "".join([plain[b] for b in raw[:-1]]) + chr(ord(plain[raw[-1]]) + _END)
+        n, size, shorter, pairs = len(spelled), self.size, self.shorter, self.pairs.get
         longest = [0] * n
         for end, (token, length) in self.automaton.iter(spelled):
             longest[end - length + 1] = token  # later ends are longer
         out: list[int] = []
-        at, token, dead = 0, longest[0], set()
+        at, token, last, dead = 0, longest[0], -1, None
         while True:
             while token >= 0:
                 end = at + size[token]
-                if end not in dead and (not out or self.compatible(out[-1], token)):
-                    break
+                if dead is None or end not in dead:
+                    if last < 0:
+                        break
+                    fits = pairs(last << 20 | token)
+                    if fits or fits is None and self.compatible(last, token):
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
+                at, last = end, token
                 if at == n:
                     return out
                 token = longest[at]
             else:
+                dead = dead or set()
                 dead.add(at)
                 token = out.pop()
+                last = out[-1] if out else -1
                 at -= size[token]
 
     def _word(self, piece: str) -> bytes:
         if len(self.words) >= WORD_CACHE:
             self.words.clear()
-        ids = self.ids
-        found = np.array([ids[k] for k in self.word(piece)], "<u4").tobytes()
+        packed = self.packed
+        found = b"".join([packed[k] for k in self.word(piece)])
         if len(piece) <= 64:
             self.words[piece] = found
         return found
 
     def _plain(self, text: str) -> bytes:
-        find = self.find
+        find = self.find_ascii
         if not text.isascii():
+            find = self.find
             text = unicodedata.normalize("NFC", text)
-            if self.odd(text):
+            if not _is_latin(text) and self.odd(text):
                 text, find = text.translate(self.small), self.find_exact
         get, make = self.words.get, self._word
         return b"".join([get(p) or make(p) for p in find(text.lower())])
