@@ -7,6 +7,7 @@ text, never the partition.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,23 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Plans of these nodes alone read files and know their partitions without running anything.
+_PLAIN = {"Project", "Filter", "Relation", "LogicalRelation"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out anew if it is read in fewer partitions than there are cores, else as it is.
+
+    For the passes in Python, which cost far more than moving their input.
+    Plans with more than a scan, a filter and a projection are left alone.
+    """
+    nodes = re.findall(r"(?m)^[ :+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString())
+    if not nodes or not set(nodes) <= _PLAIN:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def side(df: DataFrame, most: int = 500_000) -> DataFrame:
     """The small side of a join: broadcast if it has at most ``most`` rows, which are counted, else merged."""
     return F.broadcast(df) if df.count() <= most else df.hint("merge")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LETTERS, Texts, Words, documents, grams, id_text, side, signed, table, texts, words
+from graphloom.llm.common import LETTERS, Texts, Words, documents, grams, id_text, side, signed, spread, table, texts, words
 
 WINDOW = 10
 K = 6
@@ -147,7 +147,7 @@ def scan(docs: DataFrame, marks: DataFrame, window: int = WINDOW, k: int = K, bi
         for batch in batches:
             yield _scan(texts(batch.column(1)), batch.column(0), sizes, passes, window, k)
 
-    scanned = id_text(docs).mapInArrow(run, f"key long, n_words long, found array<{_CANDIDATE_SQL}>")
+    scanned = spread(id_text(docs)).mapInArrow(run, f"key long, n_words long, found array<{_CANDIDATE_SQL}>")
     return table(
         scanned.select(F.monotonically_increasing_id().alias("row"), F.col("key").alias("doc_id"), "n_words", "found")
     )

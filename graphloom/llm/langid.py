@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import crc_mod, documents, id_text, texts
+from graphloom.llm.common import crc_mod, documents, id_text, spread, texts
 
 SHARDS = 3
 DICTIONARY = 1 << 16
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, list[bytes]]) -> DataFrame:
                 ["doc_id", "lang_pred", "score", "rejected"],
             )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return spread(id_text(docs)).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import LETTERS, Words, documents, hash_bytes, id_text, texts, words
+from graphloom.llm.common import LETTERS, Words, documents, hash_bytes, id_text, spread, texts, words
 
 #: The base phrases and their labels.
 PHRASES = (
@@ -274,7 +274,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         for batch in batches:
             yield scanner.batch(batch)
 
-    return id_text(docs).mapInArrow(run, _SCHEMA)
+    return spread(id_text(docs)).mapInArrow(run, _SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,7 @@ from graphloom.llm.common import (
     hash_bytes,
     id_text,
     signed,
+    spread,
     table,
     texts,
     words,
@@ -134,7 +135,7 @@ def counts(docs: DataFrame, most: int = 1 << 19) -> DataFrame:
         if held:
             yield out(*merged())
 
-    found = training(docs).mapInArrow(run, "word long, tail int, n long")
+    found = spread(training(docs)).mapInArrow(run, "word long, tail int, n long")
     return found.groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
 
@@ -499,7 +500,7 @@ def score(docs: DataFrame, counted: DataFrame, v: Vocabulary, p: dict[str, np.nd
                 )
 
     schema = "doc_id long, n long, known long, base double, own double, rest array<struct<word:long,times:int>>"
-    scanned = table(id_text(docs).mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("row"), "*"))
+    scanned = table(spread(id_text(docs)).mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("row"), "*"))
     rest = scanned.select("row", F.explode("rest").alias("w")).select("row", "w.word", "w.times")
     unseen = math.log10(ADD)
     matched = (

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import LETTERS, cut, documents, hash_bytes, table, texts, words
+from graphloom.llm.common import LETTERS, cut, documents, hash_bytes, spread, table, texts, words
 from graphloom.session import ship
 
 KEY = b"graphloom: replace this key in production"
@@ -354,7 +354,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
     ship(docs.sparkSession)
     text = F.col("text").cast("string")
-    return docs.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "h long, kind string, value string")
+    return spread(docs.select(F.xxhash64(text).alias("h"), text.alias("text"))).mapInArrow(run, "h long, kind string, value string")
 
 
 def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -412,7 +412,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str | None = None) ->
     found = table(entities(docs))
     late = redrawn(cut(found.select("kind", "value").distinct()), key)
     kind = "array<struct<kind:string,value:string,draw:int>>"
-    given = docs.select("*")
+    given = spread(docs.select("*"))
     if late.isEmpty():
         given = given.withColumn(_DRAWN, F.array().cast(kind))
     else:

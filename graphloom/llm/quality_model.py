@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NOT_SPACE, Texts, Words, documents, hash_bytes, id_text, mix, side, table, texts, words
+from graphloom.llm.common import NOT_SPACE, Texts, Words, documents, hash_bytes, id_text, mix, side, spread, table, texts, words
 from graphloom.llm.quality_rules import estimate
 
 DIMENSIONS = 1 << 20
@@ -197,7 +197,7 @@ def vote(docs: DataFrame) -> DataFrame:
                 ["doc_id", "votes", "insults"],
             )
 
-    return id_text(docs).mapInArrow(run, f"doc_id long, votes {_VOTES}, insults long")
+    return spread(id_text(docs)).mapInArrow(run, f"doc_id long, votes {_VOTES}, insults long")
 
 
 def _posterior(prior: float, ratio: list[dict[int, float]], votes: list[int]) -> float:
@@ -326,7 +326,7 @@ def score(docs: DataFrame, heads: list[tuple[np.ndarray, float]]) -> DataFrame:
                 ["doc_id", "quality", "toxicity", "kept"],
             )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, quality double, toxicity double, kept boolean")
+    return spread(id_text(docs)).mapInArrow(run, "doc_id long, quality double, toxicity double, kept boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:

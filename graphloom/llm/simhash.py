@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, id_text, table, texts
+from graphloom.llm.common import cut, id_text, spread, table, texts
 
 WIDTHS = (11, 11, 11, 11, 10, 10)
 DISTANCE = 2
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((fingerprint(t.row(i), shingle) for i in range(len(t))), np.uint64, len(t))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return spread(id_text(docs)).mapInArrow(run, "doc_id long, fp long")
 
 
 def local_labels(fps: np.ndarray, free: int, distance: int = DISTANCE) -> np.ndarray:
