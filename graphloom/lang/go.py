@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from graphloom.lang.base import Analysis
-from graphloom.lang.tokens import Token, match, nesting, scan, unquote
+from graphloom.lang.tokens import Token, match, scan, unquote
 
 #: File name endings of other platforms than linux on amd64.
 SYSTEMS = (

@@ -114,9 +114,10 @@ def rule_versions(registry: DataFrame, templates: DataFrame) -> DataFrame:
     missing: a template lacks a rule; mismatch: it has another version; unknown:
     it has a rule that the registry lacks.
     """
-    languages = templates.select("language").distinct()
-    want = languages.join(F.broadcast(registry.select("rule", F.col("version").alias("want")).withColumn("__k", F.lit(1))), F.lit(1) == F.col("__k"))
-    want = want.drop("__k")
+    # every language must have every rule of the registry, which is a short list
+    listed = registry.agg(F.collect_set(F.struct("rule", F.col("version").alias("want"))).alias("listed"), F.lit(1).alias("k"))
+    languages = templates.select("language").distinct().withColumn("k", F.lit(1))
+    want = languages.join(listed, "k").select("language", F.explode("listed").alias("r")).select("language", "r.*")
     both = want.join(templates.select("language", "rule", F.col("version").alias("have")), ["language", "rule"], "full_outer")
     issue = (
         F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unknown").when(F.col("want") != F.col("have"), "mismatch")
