@@ -10,10 +10,10 @@ state is carried across windows, in training and in scoring: a document's score
 is the log-likelihood of all of it, its end included.
 
 Counts come from all training documents (crc32(doc_id as text) mod 10 is not
-0) and are joined to the documents by word.  Gradients come from a fixed share
-of the training documents, so they grow with the corpus: one worker starts the
-network on a bounded sample, then workers train on from there on their parts of
-the share, and their networks are averaged in a tree.
+0) and are joined to the documents by word.  Gradients come from all training
+documents: one worker starts the network on a bounded sample, then workers train
+on from there on their parts of all documents, and their networks are averaged
+in a tree.
 
 Words are known by a 64-bit hash.  Edge cases: a null or empty text is its end
 alone, one token.  Rows that repeat a doc_id are scored each; a null doc_id is
@@ -58,8 +58,7 @@ WINDOW = 24
 LANES = 128  # documents side by side in training
 SCORING_LANES = 512
 START_TOKENS = 400_000
-SHARE = 1 / 60  # of the training documents, by hash, that give gradients after the start
-PART_TOKENS = 300_000  # a worker's part of the share, about
+PART_TOKENS = 300_000  # a part that is trained in one go, about
 RATE = 0.2
 LATER_RATE = 0.05  # once the network is started
 END = hash_bytes(b" ")  # no word has a space
@@ -380,61 +379,70 @@ def unpack(raw: bytes) -> dict[str, np.ndarray]:
 # --- over the corpus -------------------------------------------------------
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    ids, sizes = [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
+def _parts(batches: Iterator[pa.RecordBatch], v: Vocabulary, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and row bounds of all rows, in parts of ``most`` tokens or little more."""
+    ids, sizes, held = [], [np.zeros(1, np.int64)], 0
     for batch in batches:
         t = texts(batch.column(1))
         for a, b in t.chunks():
             tokens = Tokens(t, a, b)
             ids.append(v.encode(tokens))
             sizes.append(np.diff(tokens.first))
-    return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+            held += len(ids[-1])
+            if held >= most:
+                yield np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+                ids, sizes, held = [], [np.zeros(1, np.int64)], 0
+    if held:
+        yield np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+
+def _average(found: Iterator[tuple[int, dict[str, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """One network for all that are found, weighed by their tokens."""
+    total, weight = None, 0
+    for n, p in found:
+        if total is None:
+            total = {k: x.astype(np.float64) * n for k, x in p.items()}
+        else:
+            for k in total:
+                total[k] += p[k] * float(n)
+        weight += n
+    if total is not None:
+        p = {k: (x / weight).astype(_FLOAT) for k, x in total.items()}
+        yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([pack(p)], pa.binary())], ["n", "p"])
 
 
 def learn(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """The network: started by one worker on a bounded sample, then trained by many on their parts of the share.
+    """The network: started by one worker on a bounded sample, then trained on all training documents.
 
-    Averages go up a tree of groups of 16, so no task and no driver ever holds
-    more than 16 networks.
+    Each worker trains on from the start on every part of its documents and
+    averages; the averages go up a tree of groups of 16, so no task and no
+    driver ever holds more than 16 networks.
     """
     own = training(docs)
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     begin = min(1.0, START_TOKENS / max(1, v.total))
     size = "n long, p binary"
 
-    def run_from(raw: bytes | None, rate: float):
+    def run_from(raw: bytes | None, rate: float, most: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, first = _encoded(batches, v)
-            if len(first) > 1:
-                p = train(unpack(raw) if raw else start(v), v, ids, first, rate)
-                yield pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([pack(p)], pa.binary())], ["n", "p"])
+            p = unpack(raw) if raw else start(v)
+            yield from _average((len(ids), train(p, v, ids, first, rate)) for ids, first in _parts(batches, v, most))
 
         return run
 
-    small = F.octet_length("text") <= 1 << 16
-    seed = own.where((draw < begin) & small).coalesce(1).mapInArrow(run_from(None, RATE), size).collect()
-    p = unpack(seed[0]["p"]) if seed else start(v)
-    tokens = v.total * SHARE
-    parts = max(1, math.ceil(tokens / PART_TOKENS))
-    share = own.where((draw >= begin) & (draw < begin + SHARE))
-    nets = share.repartition(parts, F.xxhash64("doc_id", "text")).mapInArrow(run_from(pack(p), LATER_RATE), size)
-    nets = cut(nets)
-
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = None, 0
-        for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = unpack(raw.as_py())
-                if total is None:
-                    total = {k: x.astype(np.float64) * n for k, x in found.items()}
-                else:
-                    for k in total:
-                        total[k] += found[k] * float(n)
-                weight += n
-        if total is not None:
-            p = {k: (x / weight).astype(_FLOAT) for k, x in total.items()}
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([pack(p)], pa.binary())], ["n", "p"])
+        yield from _average(
+            (n, unpack(raw.as_py()))
+            for batch in batches
+            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+        )
 
+    # the start is one worker's, so it takes no long text; the pass over all documents takes them too
+    small = F.octet_length("text") <= 1 << 16
+    seed = own.where((draw < begin) & small).coalesce(1).mapInArrow(run_from(None, RATE, math.inf), size).collect()
+    p = unpack(seed[0]["p"]) if seed else start(v)
+    nets = cut(spread(own).mapInArrow(run_from(pack(p), LATER_RATE, PART_TOKENS), size))
+    parts = nets.count()
     while parts > 16:
         parts = -(-parts // 16)
         nets = cut(nets.repartition(parts).mapInArrow(average, size))

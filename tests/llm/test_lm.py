@@ -168,3 +168,14 @@ def test_back_propagation_against_differences(monkeypatch):
         at = int(rng.integers(3 * lm.HIDDEN))
         real = slope("first", (at,)) if where[row] == v.ids else slope("input", (int(where[row]), at))
         assert real == pytest.approx(scale * d[row, at], abs=1e-4)
+
+
+def test_every_training_document_gives_gradients(spark, monkeypatch):
+    monkeypatch.setattr(lm, "START_TOKENS", 100)
+    rows = [(i, " ".join([f"own{i}"] * 5)) for i in range(300)]
+    rows.append((next(i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 10), "longtext " * 9000))  # over 64 KB
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, v, p = lm.model(docs)
+    moved = np.abs(p["input"] - lm.start(v)["input"]).max(axis=1)[: v.end] > 0
+    assert v.end == 1 + sum(zlib.crc32(str(i).encode()) % 10 != 0 for i in range(300))
+    assert moved.all()
