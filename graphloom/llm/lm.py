@@ -451,9 +451,11 @@ def learn(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
 
 
 def vocabulary(counted: DataFrame) -> Vocabulary:
-    """From the counts: totals, the FREQUENT most frequent words, and the weight of each tail class."""
+    """From the counts: totals, the end, the FREQUENT most frequent words, and the weight of each tail class."""
     total = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = counted.orderBy(F.desc("n"), "word").limit(FREQUENT + 1).collect()
+    is_end = F.col("word") == int(signed(np.array([END], np.uint64))[0])
+    # the end is looked up on its own: among long documents it is not frequent
+    top = counted.where(is_end).collect() + counted.where(~is_end).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = [(r["word"] % (1 << 64), r["n"]) for r in top]
     tails = {r["tail"]: [r["v"], r["n"]] for r in counted.groupBy("tail").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
     for r in top:

@@ -179,3 +179,11 @@ def test_every_training_document_gives_gradients(spark, monkeypatch):
     moved = np.abs(p["input"] - lm.start(v)["input"]).max(axis=1)[: v.end] > 0
     assert v.end == 1 + sum(zlib.crc32(str(i).encode()) % 10 != 0 for i in range(300))
     assert moved.all()
+
+
+def test_end_is_known_where_many_words_are_more_frequent(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 5)
+    rows = [(i, " ".join([f"w{k}" for k in range(8)] * 3)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    check_base(docs, lm.query(spark, str(tmp_path)).collect())
