@@ -7,7 +7,8 @@ label a bounded sample, on which a logistic scorer over hashed features (words,
 their openings, word shapes and how large a share they have, repetition) is
 trained; the scorer then judges all documents.  Toxicity is a second head of
 the same make, whose labellers are a word list and the table of labels where it
-has the document.  A document is kept if it is good and not toxic.
+has the document; the list alone tells what is clean if no label does, and
+nothing is toxic where one of the two classes is missing.  A document is kept if it is good and not toxic.
 
 The sample has SAMPLE documents in expectation, of at most LONGEST bytes, drawn
 by a hash of the text; votes, counts and scores cover everything.
@@ -299,6 +300,11 @@ def train(docs: DataFrame, labels: DataFrame | None) -> list[tuple[np.ndarray, f
     # the labels are given, not guessed: they decide where they speak
     toxic = np.array([(v[1] < 0) if v[1] else 1 - _posterior(clean_prior, clean_ratio, v) for v in ballots], float)
     spoken = np.array([bool(v[1]) or v[0] < 0 for v in ballots], bool)
+    if not any(v[1] > 0 for v in ballots):  # no label says what is clean: the list's clean votes do
+        spoken |= np.array([v[0] > 0 for v in ballots], bool)
+        toxic = np.array([float(v[1] < 0 or (not v[1] and v[0] < 0)) for v in ballots])
+    if len(set(toxic[spoken] > 0.5)) < 2:  # nothing tells toxic from clean: not toxic
+        return [fit(features, good), (np.zeros(DIMENSIONS, np.float32), -8.0)]
     return [fit(features, good), fit([f for f, s in zip(features, spoken, strict=True) if s], toxic[spoken])]
 
 

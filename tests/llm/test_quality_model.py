@@ -62,3 +62,18 @@ def test_scorer_gives_weight_to_what_tells_classes_apart():
 def test_one_class_gives_a_constant():
     weight, bias = quality_model.fit([np.arange(3, dtype=np.uint32)], np.ones(1))
     assert not weight.any() and bias > 0
+
+
+def test_clean_documents_stay_without_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    insulted = docs.selectExpr("doc_id + 1000000 as doc_id", "concat('you idiot moron scum ', text) as text").where("doc_id % 20 = 0")
+    plain = docs.where("not text rlike '(?i)clown|disgusting|idiot|loser|moron|pathetic|scum|stupid|trash|worthless'")
+    for given in (labels, None):
+        rows = quality_model.classify(plain, given).collect()
+        assert all(r.toxicity < 0.5 for r in rows) and sum(r.kept for r in rows) > len(rows) / 2
+    rows = quality_model.classify(plain.union(insulted), labels).collect()
+    clean = [r for r in rows if r.doc_id < 1000000]
+    assert sum(r.toxicity < 0.5 for r in clean) >= 0.9 * len(clean)
+    rude = [r for r in rows if r.doc_id >= 1000000]
+    assert sum(r.toxicity > 0.5 for r in rude) >= 0.5 * len(rude)
