@@ -522,7 +522,7 @@ _TERMINAL = quoted(TERMINAL)
 
 
 def _modules(spark, d):
-    return L.view(spark, d, L.MODULES)
+    return L.view(spark, d, L.ALL_MODULES)
 
 
 @query(

@@ -97,6 +97,8 @@ MODULES = (
     "CASE k % 5 WHEN 0 THEN 'unclassified' WHEN 1 THEN 'partially_classified' ELSE 'classified' END AS danger_provenance "
     "FROM (SELECT CAST(s_suppkey AS INT) AS k FROM {supplier} WHERE s_suppkey < 1000) s"
 )
+#: The same over the whole supplier table, for the queries; MODULES is the text of the SQL they are held against.
+ALL_MODULES = MODULES.replace(" WHERE s_suppkey < 1000", "")
 
 HISTORY = (
     "SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'init' WHEN 'view' THEN 'profile' WHEN 'click' THEN 'plan' "

@@ -198,3 +198,10 @@ def test_lines_and_roll_up(spark):
     members = spark.createDataFrame([("m", "f1"), ("m", "f2"), ("n", "f3"), ("n", "f9")], "module string, file string")
     got = {r.module: (r.tier, r.danger, r.danger_provenance) for r in quality.roll_up(kinds, members).collect()}
     assert got == {"m": ("full", ["a", "b"], "classified"), "n": ("standard", [], "partially_classified")}
+
+
+def test_modules_of_every_supplier(spark, tmp_path):
+    from graphloom.plans import catalogue
+
+    spark.range(1500).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert catalogue.QUERIES["coverage_stats"](spark, str(tmp_path)).first()["total"] == 1500
