@@ -184,13 +184,13 @@ def _syllables(x: int, script: str) -> str:
 
 
 def _name(role: str, value: str, key: bytes, draw: int) -> str:
-    """A name word of the same script; given names keep their gender, and listed ones stay on the list."""
+    """A name word of the same script; given names keep their gender, and listed ones stay on the list while it has free names."""
     script = _script(value)
     number = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=5, key=key[:64], salt=f"{role[:8]}{draw}".encode()).digest(), "big")
     if role in ("given_m", "given_f"):
         pool = GIVEN[script, role[-1]]
         lower = [n.lower() for n in pool]
-        if value in lower:
+        if value in lower and draw <= MAX_DRAWS // 2:  # then the list is taken to be used up
             return pool[permute(lower.index(value), len(pool), key, f"{role}\0{draw}")]
         ends = {("latin", "f"): "na", ("latin", "m"): "n", ("cyrillic", "f"): "на", ("cyrillic", "m"): "н"}
         return _syllables(number, script).capitalize() + ends[script, role[-1]]
@@ -312,7 +312,10 @@ def _overlaps(taken: list[tuple[int, int]], x: tuple) -> bool:
     return bool(at) and taken[at - 1][1] > x[0]
 
 
-_ADDRESS_HASHES = np.sort(np.array([hash_bytes(x.encode()) for x in ADDRESS], np.uint64))
+# words are lower-cased in ASCII only, so a capital of another script is its own spelling
+_ADDRESS_HASHES = np.sort(
+    np.array([hash_bytes(x.encode()) for x in {*ADDRESS, *(x.capitalize() for x in ADDRESS if not x[0].isascii())}], np.uint64)
+)
 
 
 def _candidates(column: pa.Array) -> Iterator[tuple[int, str, bool, bool]]:

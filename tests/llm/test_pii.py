@@ -117,3 +117,15 @@ def test_cases(spark):
     assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
     nothing = docs.where(F.col("doc_id") < 5)
     assert sorted(map(str, pii.pseudonymise(nothing, KEY).collect())) == sorted(map(str, nothing.collect()))
+
+
+def test_names_of_a_used_up_list_and_cyrillic_address(spark):
+    men = pii.GIVEN["latin", "m"]
+    rows = [(i, f"Mr. {name} Zubrowski wrote.") for i, name in enumerate(men)]
+    rows.append((99, "Пришёл Господин Иван Кузнецов домой."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    after = {r.doc_id: r.text for r in pii.pseudonymise(docs, pii.KEY).collect()}
+    names = [after[i].split()[1] for i in range(len(men))]
+    assert len(set(names)) == len(men) and not set(names) & set(men)
+    assert all(name.isalpha() and name.istitle() and name.endswith("n") for name in names)
+    assert "Иван" not in after[99] and "Кузнецов" not in after[99]
