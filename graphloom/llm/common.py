@@ -7,7 +7,6 @@ text, never the partition.
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="graphloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -52,7 +54,15 @@ def table(df: DataFrame) -> DataFrame:
 
 
 #: Plans of these nodes alone read files and know their partitions without running anything.
-_PLAIN = {"Project", "Filter", "Relation", "LogicalRelation"}
+_PLAIN = {"Project", "Filter", "LogicalRelation"}
+
+
+def _nodes(plan) -> Iterator[str]:
+    """Class names of a logical plan's nodes."""
+    yield plan.getClass().getSimpleName()
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -61,8 +71,7 @@ def spread(df: DataFrame) -> DataFrame:
     For the passes in Python, which cost far more than moving their input.
     Plans with more than a scan, a filter and a projection are left alone.
     """
-    nodes = re.findall(r"(?m)^[ :+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString())
-    if not nodes or not set(nodes) <= _PLAIN:
+    if not set(_nodes(df._jdf.queryExecution().optimizedPlan())) <= _PLAIN:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
@@ -136,17 +145,8 @@ LETTERS = np.zeros(256, bool)
 LETTERS[48:58] = LETTERS[97:123] = LETTERS[128:] = True
 
 _BASE = 0x9E3779B97F4A7C15
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for key, step in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, step, np.uint64)
-            p[0] = 1
-            _powers[key] = np.cumprod(p, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+_LONG = 64  # bytes; longer words are hashed one by one
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -160,11 +160,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def hash_bytes(word: bytes) -> int:
     """The hash that :func:`words` gives this word."""
-    value, power = 0, 1
-    for b in word:
-        value = (value + (b + 1) * power) % (1 << 64)
-        power = power * _BASE % (1 << 64)
-    return int(mix(np.array([value], np.uint64))[0])
+    raw = np.frombuffer(word, np.uint8)
+    return int(Words.hashed(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0])
 
 
 @dataclass
@@ -189,12 +186,24 @@ class Words:
 
     @staticmethod
     def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each stretch: a polynomial in its bytes, from sums over all of them, mixed."""
-        n = len(raw)
-        up, down = _power(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start])
+        """A 64-bit hash of each stretch: its bytes in lanes of eight, mixed one after another.
+
+        Stretches of more than _LONG bytes take XXH64, so that the lanes of all together stay few.
+        """
+        size = end - start
+        out = size.astype(np.uint64) * np.uint64(_BASE)
+        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+        lanes = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+        own = np.flatnonzero(size <= _LONG)
+        for j in range(0, _LONG, 8):
+            own = own[size[own] > j]
+            if not len(own):
+                break
+            lane = lanes[start[own] + j] & _MASKS[np.minimum(size[own] - j, 8)]
+            out[own] = mix(out[own] ^ (lane * np.uint64(0xD6E8FEB86659FD93) + np.uint64(j + 1)))
+        for i in np.flatnonzero(size > _LONG):
+            out[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes(), _LONG)
+        return mix(out)
 
 
 def words(t: Texts, a: int, b: int, kind: np.ndarray, lower: bool = True) -> Words:
