@@ -24,6 +24,7 @@ an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import io
 import math
 from collections.abc import Iterator
@@ -51,14 +52,15 @@ from graphloom.llm.common import (
 FOLDS = 10
 ADD = 0.1
 FREQUENT = 2048
-HIDDEN = 32
+HIDDEN = 24
 CLASS_SIZE = 64
 TAIL = 16
-WINDOW = 24
-LANES = 128  # documents side by side in training
+WINDOW = 32
+LANES = 256  # lanes of documents side by side in training, at most
 SCORING_LANES = 512
 START_TOKENS = 400_000
-PART_TOKENS = 300_000  # a part that is trained in one go, about
+PART_TOKENS = 3_000_000  # a part that is trained in one go, about
+KNOWN = 1 << 17  # words at most whose counts go along with the scan
 RATE = 0.2
 LATER_RATE = 0.05  # once the network is started
 END = hash_bytes(b" ")  # no word has a space
@@ -186,50 +188,62 @@ def start(v: Vocabulary, seed: int = 1) -> dict[str, np.ndarray]:
     weight[v.classes + 1 :] = v.tail_mass
     inner = np.full((max(1, v.classes), CLASS_SIZE), -30.0)
     inner.ravel()[: v.end] = np.log(v.count + ADD)
+    outer = np.log(weight + ADD)
     return {
         "input": small(v.ids, 3 * h),  # what each id adds to the gates
         "gates": small(h, 3 * h),
         "gate_bias": np.concatenate([np.full(h, -1.0), np.zeros(2 * h)]).astype(_FLOAT),
         "class": small(h, v.outputs),
-        "class_bias": np.log(weight + ADD).astype(_FLOAT),
+        "class_bias": (outer - outer.max()).astype(_FLOAT),
         "word": small(max(1, v.classes), h, CLASS_SIZE),
-        "word_bias": inner.astype(_FLOAT),
+        "word_bias": (inner - inner.max(axis=1, keepdims=True)).astype(_FLOAT),
         "first": np.zeros(3 * h, _FLOAT),  # the input before the first word
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """One step of the unit: update, reset, candidate."""
+def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One step of the unit (update, reset, candidate): the state after it, and the gates."""
     k = HIDDEN
-    both = _sigmoid(x[:, : 2 * k] + h @ p["gates"][:, : 2 * k] + p["gate_bias"][: 2 * k])
-    z, r = both[:, :k], both[:, k:]
-    rh = r * h
-    c = np.tanh(x[:, 2 * k :] + rh @ p["gates"][:, 2 * k :] + p["gate_bias"][2 * k :])
-    return h + z * (c - h), (h, z, r, rh, c)
+    x = x + p["gate_bias"]
+    both = h @ p["gates"][:, : 2 * k]
+    both += x[:, : 2 * k]
+    both *= 0.5
+    np.tanh(both, out=both)
+    both *= 0.5
+    both += 0.5
+    c = (both[:, k:] * h) @ p["gates"][:, 2 * k :]
+    c += x[:, 2 * k :]
+    np.tanh(c, out=c)
+    c -= h
+    c *= both[:, :k]
+    c += h
+    return c, both
+
+
+def _log_of(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax at one place of each row; logits are used up."""
+    logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(at)), at]
+    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _by_class(target: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Order by class of what has a class of words, and the bounds of the classes in it."""
+    order = np.argsort(target.astype(np.int16 if v.outputs < 32_000 else np.int64), kind="stable")
+    bounds = np.searchsorted(target[order], np.arange(v.classes + 1))
+    return order[: bounds[-1]], bounds
 
 
 def log_likelihood(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, state: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each id after its state; of a tail word, that of its class."""
     target = v.class_of[ids]
-    logits = state @ p["class"] + p["class_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    out = logits[np.arange(len(ids)), target] - np.log(np.exp(logits).sum(axis=1))
-    order = np.argsort(target, kind="stable")
-    bounds = np.searchsorted(target[order], np.arange(v.classes + 1))
+    out = _log_of(state @ p["class"] + p["class_bias"], target)
+    order, bounds = _by_class(target, v)
+    ranked, place, more = state[order], ids[order], np.empty(len(order), out.dtype)
     for c in np.flatnonzero(np.diff(bounds)):
-        own = order[bounds[c] : bounds[c + 1]]
-        logits = state[own] @ p["word"][c] + p["word_bias"][c]
-        logits -= logits.max(axis=1, keepdims=True)
-        out[own] += logits[np.arange(len(own)), ids[own] - c * CLASS_SIZE] - np.log(np.exp(logits).sum(axis=1))
+        own = slice(bounds[c], bounds[c + 1])
+        more[own] = _log_of(ranked[own] @ p["word"][c] + p["word_bias"][c], place[own] - c * CLASS_SIZE)
+    out[order] += more
     return out
 
 
@@ -278,65 +292,125 @@ def score_rows(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, first:
     return out
 
 
+def deal(first: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """Places of the tokens, steps x lanes, -1 past a lane's end.
+
+    Documents follow one another in lanes of about equal length, so that all
+    lanes are busy to the end; the longest document bounds how many there are.
+    """
+    size = np.diff(first)
+    lanes = max(1, min(lanes, len(size), int(size.sum()) // max(1, int(size.max(initial=1)))))
+    load = [(0, k) for k in range(lanes)]
+    own: list[list[int]] = [[] for _ in range(lanes)]
+    for row in np.argsort(-size, kind="stable").tolist():
+        held, k = load[0]
+        own[k].append(row)
+        heapq.heapreplace(load, (held + int(size[row]), k))
+    rng = np.random.default_rng(7)
+    places = []
+    for rows in own:
+        at = [np.arange(first[r], first[r + 1]) for r in rng.permutation(rows)]
+        places.append(np.concatenate(at) if at else np.zeros(0, np.int64))
+    places.sort(key=len, reverse=True)
+    out = np.full((len(places[0]), lanes), -1, np.int64)
+    for k, at in enumerate(places):
+        out[: len(at), k] = at
+    return out
+
+
 def train(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, first: np.ndarray, rate: float = RATE) -> dict[str, np.ndarray]:
     """Truncated back-propagation through time over all rows, with Adagrad; the state is carried across windows."""
-    p = {k: x.copy() for k, x in p.items()}
+    p = {name: x.copy() for name, x in p.items()}
     p["input"] = np.concatenate([p["input"], p.pop("first")[None]])
-    scale = {k: np.full(x.shape, 1e-3, _FLOAT) for k, x in p.items()}
-    rows = np.random.default_rng(7).permutation(len(first) - 1)
-    k = HIDDEN
-    for g in range(0, len(rows), LANES):
-        lanes = Lanes(ids, first, rows[g : g + LANES])
-        h = np.zeros((len(lanes.order), k), _FLOAT)
-        before = np.full(len(lanes.order), v.ids)
-        for left, block in lanes.windows(WINDOW):
-            h, before = h[:left], before[:left]
-            kept, inputs, states, targets, sizes = [], [], [], [], []
-            for row in block:
-                n = int((row >= 0).sum())
-                inputs.append(before[:n])
-                h, memory = _step(p, p["input"][before[:n]], h[:n])
-                kept.append(memory)
-                before = row[:n]
-                states.append(h)
-                targets.append(before)
-                sizes.append(n)
-            s, y = np.concatenate(states), np.concatenate(targets)
-            grad, ds = _output_gradients(p, v, s, y)
-            dgates, dbias = np.zeros_like(p["gates"]), np.zeros_like(p["gate_bias"])
-            dx = np.empty((len(y), 3 * k), _FLOAT)
-            dh, at = np.zeros((0, k), _FLOAT), len(y)
-            for n, memory in zip(reversed(sizes), reversed(kept), strict=True):
-                at -= n
-                total = ds[at : at + n].copy()
-                total[: len(dh)] += dh
-                h0, z, r, rh, c = memory
-                dc = total * z * (1 - c * c)
-                dz = total * (c - h0) * z * (1 - z)
-                drh = dc @ p["gates"][:, 2 * k :].T
-                dr = drh * h0 * r * (1 - r)
-                dzr = np.concatenate([dz, dr], axis=1)
-                dh = total * (1 - z) + drh * r + dzr @ p["gates"][:, : 2 * k].T
-                dgates[:, : 2 * k] += h0.T @ dzr
-                dgates[:, 2 * k :] += rh.T @ dc
-                dx[at : at + n, : 2 * k], dx[at : at + n, 2 * k :] = dzr, dc
-            dbias = dx.sum(axis=0)
-            norm = 1.0 / max(1, left)
-            for name, d in (("gates", dgates), ("gate_bias", dbias), *grad["dense"]):
-                _update(p[name], scale[name], None, np.clip(d * norm, -1, 1), rate)
-            x_ids = np.concatenate(inputs)
-            found, back = np.unique(x_ids, return_inverse=True)
-            d = np.zeros((len(found), 3 * k), _FLOAT)
-            np.add.at(d, back, dx)
-            _update(p["input"], scale["input"], found, np.clip(d * norm, -1, 1), rate)
-            for c, dw, db in grad["words"]:
-                _update(p["word"], scale["word"], c, np.clip(dw * norm, -1, 1), rate)
-                _update(p["word_bias"], scale["word_bias"], c, np.clip(db * norm, -1, 1), rate)
+    scale = {name: np.full(x.shape, 1e-3, _FLOAT) for name, x in p.items()}
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[first[:-1]] = v.ids
+    goes_on = np.ones(len(ids), _FLOAT)  # 0 where a document begins and the state is new
+    goes_on[first[:-1]] = 0
+    if len(first) > 1:
+        places = deal(first)
+        h = np.zeros((places.shape[1], HIDDEN), _FLOAT)
+        for at in range(0, len(places), WINDOW):
+            block = places[at : at + WINDOW]
+            h = _window(p, scale, v, ids, before, goes_on, block[:, block[0] >= 0], h, rate)
     p["first"] = p["input"][-1].copy()
     p["input"] = p["input"][:-1].copy()
     return p
 
 
+def _window(p, scale, v: Vocabulary, ids, before, goes_on, block: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
+    """One update from a window of steps x lanes, whose lanes are the first of h; the state after it."""
+    k, (steps, lanes) = HIDDEN, block.shape
+    inside = block >= 0
+    at = np.maximum(block, 0)
+    x_ids = before[at]
+    x = (p["input"] + p["gate_bias"])[x_ids]
+    on = goes_on[at][:, :, None]
+    old, zr = np.empty((steps, lanes, k), _FLOAT), np.empty((steps, lanes, 2 * k), _FLOAT)
+    reset, c, state = (np.empty((steps, lanes, k), _FLOAT) for _ in range(3))
+    both, last = p["gates"][:, : 2 * k], p["gates"][:, 2 * k :]
+    h = h[:lanes]
+    for t in range(steps):
+        np.multiply(h, on[t], out=old[t])
+        g = zr[t]
+        np.matmul(old[t], both, out=g)
+        g += x[t, :, : 2 * k]
+        g *= 0.5
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
+        np.multiply(g[:, k:], old[t], out=reset[t])
+        np.matmul(reset[t], last, out=c[t])
+        c[t] += x[t, :, 2 * k :]
+        np.tanh(c[t], out=c[t])
+        h = state[t]
+        np.subtract(c[t], old[t], out=h)
+        h *= g[:, :k]
+        h += old[t]
+    every = bool(inside.all())
+    s, y = state.reshape(-1, k), ids[at].ravel()
+    if every:
+        grad, ds = _output_gradients(p, v, s, y)
+    else:
+        own = np.flatnonzero(inside)
+        grad, found = _output_gradients(p, v, s[own], y[own])
+        ds = np.zeros_like(s)
+        ds[own] = found
+    ds = ds.reshape(steps, lanes, k)
+    z, r = zr[:, :, :k], zr[:, :, k:]
+    of_c, of_z, of_r = z * (1 - c * c), (c - old) * z * (1 - z), old * r * (1 - r)
+    keep = 1 - z
+    dx = np.empty((steps, lanes, 3 * k), _FLOAT)
+    dh = np.zeros((lanes, k), _FLOAT)
+    both_t, last_t = np.ascontiguousarray(both.T), np.ascontiguousarray(last.T)
+    for t in range(steps - 1, -1, -1):
+        dh += ds[t]
+        np.multiply(dh, of_c[t], out=dx[t, :, 2 * k :])
+        np.multiply(dh, of_z[t], out=dx[t, :, :k])
+        back = dx[t, :, 2 * k :] @ last_t
+        np.multiply(back, of_r[t], out=dx[t, :, k : 2 * k])
+        dh *= keep[t]
+        back *= r[t]
+        dh += back
+        dh += dx[t, :, : 2 * k] @ both_t
+        dh *= on[t]
+    dx = dx.reshape(-1, 3 * k)
+    dgates = np.concatenate([old.reshape(-1, k).T @ dx[:, : 2 * k], reset.reshape(-1, k).T @ dx[:, 2 * k :]], axis=1)
+    norm = 1.0 / (lanes + int(((on[1:, :, 0] == 0) & inside[1:]).sum()))  # documents in the window
+    for name, d in (("gates", dgates), ("gate_bias", dx.sum(axis=0)), *grad["dense"]):
+        _update(p[name], scale[name], None, np.clip(d * norm, -1, 1), rate)
+    order = np.argsort(x_ids.ravel().astype(np.int16 if v.ids < 32_000 else np.int64), kind="stable")
+    ranked = x_ids.ravel()[order]
+    begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    d = np.add.reduceat(dx[order], begin, axis=0)
+    _update(p["input"], scale["input"], ranked[begin], np.clip(d * norm, -1, 1), rate)
+    for number, dw, db in grad["words"]:
+        _update(p["word"], scale["word"], number, np.clip(dw * norm, -1, 1), rate)
+        _update(p["word_bias"], scale["word_bias"], number, np.clip(db * norm, -1, 1), rate)
+    return h
+
+
 def _update(x: np.ndarray, scale: np.ndarray, where, d: np.ndarray, rate: float) -> None:
     if where is None:
         scale += d * d
@@ -346,22 +420,31 @@ def _update(x: np.ndarray, scale: np.ndarray, where, d: np.ndarray, rate: float)
         x[where] -= rate * d / np.sqrt(scale[where])
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place.  Biases start at zero and below and states are at most one, so the cut at 60 is for safety."""
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x *= 1 / (x.sum(axis=1, keepdims=True) + _FLOAT(1e-30))
+    return x
+
+
 def _output_gradients(p: dict[str, np.ndarray], v: Vocabulary, s: np.ndarray, y: np.ndarray):
     """Gradients of the loss in the output weights and in the states."""
     target = v.class_of[y]
-    d = np.exp(_log_softmax(s @ p["class"] + p["class_bias"]))
+    d = _softmax(s @ p["class"] + p["class_bias"])
     d[np.arange(len(y)), target] -= 1
     ds = d @ p["class"].T
     dense = [("class", s.T @ d), ("class_bias", d.sum(axis=0))]
     inner = []
-    order = np.argsort(target, kind="stable")
-    bounds = np.searchsorted(target[order], np.arange(v.classes + 1))
+    order, bounds = _by_class(target, v)
+    ranked, place, more = s[order], y[order], np.empty((len(order), HIDDEN), _FLOAT)
     for c in np.flatnonzero(np.diff(bounds)):
-        own = order[bounds[c] : bounds[c + 1]]
-        e = np.exp(_log_softmax(s[own] @ p["word"][c] + p["word_bias"][c]))
-        e[np.arange(len(own)), y[own] - c * CLASS_SIZE] -= 1
-        ds[own] += e @ p["word"][c].T
-        inner.append((c, s[own].T @ e, e.sum(axis=0)))
+        own = slice(bounds[c], bounds[c + 1])
+        e = _softmax(ranked[own] @ p["word"][c] + p["word_bias"][c])
+        e[np.arange(len(e)), place[own] - c * CLASS_SIZE] -= 1
+        np.matmul(e, p["word"][c].T, out=more[own])
+        inner.append((c, ranked[own].T @ e, e.sum(axis=0)))
+    ds[order] += more
     return {"dense": dense, "words": inner}, ds
 
 
@@ -419,7 +502,8 @@ def learn(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     driver ever holds more than 16 networks.
     """
     own = training(docs)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # by id and text: copies of a text are drawn one by one, so a large group of them is not drawn as a whole
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     begin = min(1.0, START_TOKENS / max(1, v.total))
     size = "n long, p binary"
 
@@ -439,7 +523,7 @@ def learn(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
 
     # the start is one worker's, so it takes no long text; the pass over all documents takes them too
     small = F.octet_length("text") <= 1 << 16
-    seed = own.where((draw < begin) & small).coalesce(1).mapInArrow(run_from(None, RATE, math.inf), size).collect()
+    seed = own.where((draw < begin) & small).repartition(1).mapInArrow(run_from(None, RATE, math.inf), size).collect()
     p = unpack(seed[0]["p"]) if seed else start(v)
     nets = cut(spread(own).mapInArrow(run_from(pack(p), LATER_RATE, PART_TOKENS), size))
     parts = nets.count()
@@ -464,13 +548,36 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
     return Vocabulary(frequent, total["n"] or 0, total["v"], {k: tuple(x) for k, x in tails.items()})
 
 
-def score(docs: DataFrame, counted: DataFrame, v: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
+def known_words(counted: DataFrame, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the most frequent words, at most ``most``.
+
+    The least count that is taken is an edge of a histogram of eight steps a
+    doubling, so nothing is sorted and the driver gets no more than ``most`` rows.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    left, least = most, None
+    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("v")).orderBy(F.desc("step")).collect():
+        if r["v"] > left:
+            break
+        left, least = left - r["v"], r["step"]
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    found = counted.where(step >= least).select("word", "n").toArrow()
+    h = found["word"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["n"].to_numpy()[order]
+
+
+def score(docs: DataFrame, counted: DataFrame, v: Vocabulary, p: dict[str, np.ndarray], most: int = KNOWN) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score.
 
-    Frequent words are scored where the text is read.  The others leave as
-    (row, word, times) and meet their counts in a join; none of them is
-    frequent, so no key is hot.
+    Words of the vocabulary and up to ``most`` others have their counts where the
+    text is read.  The rest leave as (row, word, times) and meet their counts in
+    a join; with 2**17 words gone, the hottest key left is less than a millionth
+    of the tokens where words are spread as in natural text.
     """
+    own_hash, own_count = known_words(counted, most)
+    own_log = np.log10(own_count + ADD)
     tail_log = np.log10(v.tail_mass)
     frequent_log = np.concatenate([np.log10(v.count + ADD), [math.log10(v.end_count + ADD)]]) if v.end else np.array([math.log10(v.end_count + ADD)])
 
@@ -491,6 +598,13 @@ def score(docs: DataFrame, counted: DataFrame, v: Vocabulary, p: dict[str, np.nd
                 own = score_rows(p, v, ids, first) / math.log(10)
                 own -= np.bincount(rows[is_tail], tail_log[ids[is_tail] - v.end - 1], b - a)
                 at = np.flatnonzero(is_tail)
+                if len(own_hash):
+                    place = np.minimum(np.searchsorted(own_hash, hashes[at]), len(own_hash) - 1)
+                    have = own_hash[place] == hashes[at]
+                    held = rows[at[have]]
+                    gain = np.bincount(held, own_log[place[have]], b - a)
+                    base, own, known = base + gain, own + gain, known + np.bincount(held, minlength=b - a)
+                    at = at[~have]
                 pair = np.lexsort((hashes[at], rows[at]))
                 r, h = rows[at][pair], hashes[at][pair]
                 new = np.ones(len(r), bool)
