@@ -82,6 +82,17 @@ def side(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
+def text_key(column="text"):
+    """What names a text: rows with the same text have the same verdict, whatever their ids."""
+    return F.xxhash64(F.col(column).cast("string"))
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of docs whose text's key is not in ``bad`` (column doc_id, keys of texts)."""
+    keys = bad.select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(side(table(keys)), text_key() == F.col("__bad"), "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

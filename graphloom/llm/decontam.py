@@ -5,7 +5,7 @@ them is its fingerprint.  A document and an item that share WINDOW consecutive
 words therefore share a fingerprint, always.  Documents are scanned once
 against a bitmap of the items' fingerprints, whose size is fixed; places that
 pass are joined with the items on the fingerprint and extended to the whole
-window.  Items shorter than WINDOW words are one window of their own length.
+window, whose words are compared as they are spelled.  Items shorter than WINDOW words are one window of their own length.
 
 Which items occur is worked out once for each distinct combination of windows,
 not for each document, so a passage that many documents share with many items
@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LETTERS, Texts, Words, documents, grams, id_text, side, signed, spread, table, texts, words
+from graphloom.llm.common import LETTERS, Texts, Words, documents, grams, id_text, signed, spread, table, text_key, texts, without, words
 
 WINDOW = 10
 K = 6
 BITMAP_BITS = 24
 
-_CANDIDATE = pa.struct([("size", pa.int32()), ("mark", pa.int64()), ("whole", pa.int64()), ("at", pa.int32())])
-_CANDIDATE_SQL = "struct<size:int,mark:long,whole:long,at:int>"
+_CANDIDATE = pa.struct([("size", pa.int32()), ("mark", pa.int64()), ("whole", pa.int64()), ("at", pa.int32()), ("words", pa.string())])
+_CANDIDATE_SQL = "struct<size:int,mark:long,whole:long,at:int,words:string>"
 
 
 def _places(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +65,9 @@ def _windows(w: Words, size: int, window: int, k: int):
 
 
 def _emit(keys: pa.Array, counts: list[np.ndarray], found: list[tuple]) -> pa.RecordBatch:
-    """found: (row, size, mark, whole, at) arrays."""
+    """found: (row, size, mark, whole, at, words) arrays."""
     empty = np.empty(0, np.int64)
-    row, size, mark, whole, at = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [empty] * 5
+    row, size, mark, whole, at, spelled = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [empty] * 6
     order = np.argsort(row, kind="stable")
     offsets = np.searchsorted(row[order], np.arange(len(keys) + 1)).astype(np.int32)
     struct = pa.StructArray.from_arrays(
@@ -76,6 +76,7 @@ def _emit(keys: pa.Array, counts: list[np.ndarray], found: list[tuple]) -> pa.Re
             pa.array(signed(mark[order].astype(np.uint64))),
             pa.array(signed(whole[order].astype(np.uint64))),
             pa.array(at[order].astype(np.int32)),
+            pa.array([x.decode() for x in spelled[order].tolist()], pa.string()),
         ],
         fields=list(_CANDIDATE),
     )
@@ -99,12 +100,14 @@ def _scan(t: Texts, keys: pa.Array, sizes: dict[int, str] | None, passes, window
             else:
                 keep = passes(mark)
             at, rows, mark, whole = at[keep], rows[keep], mark[keep], whole[keep]
-            found.append((rows + a, np.full(len(at), size), mark, whole, at - w.first[rows]))
+            spelled = np.empty(len(at), object)
+            spelled[:] = [b" ".join(w.bytes[w.start[i] : w.end[i]].tobytes() for i in range(p, p + size)) for p in at.tolist()]
+            found.append((rows + a, np.full(len(at), size), mark, whole, at - w.first[rows], spelled))
     return _emit(keys, counts, found)
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """size, mark, whole, item: the windows of every item; item is the id as text."""
+    """size, mark, whole, words, item: the windows of every item; item is the id as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +117,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, k: int = K) -> DataFram
     scanned = rows.mapInArrow(run, f"key string, n_words long, found array<{_CANDIDATE_SQL}>")
     return (
         scanned.select(F.col("key").alias("item"), F.explode("found").alias("w"))
-        .select("w.size", "w.mark", "w.whole", "item")
+        .select("w.size", "w.mark", "w.whole", "w.words", "item")
         .distinct()
     )
 
@@ -171,11 +174,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     own = table(item_windows(items, window, k))
     scanned = scan(docs, own, window, k)
     # windows with the same items are one group: their list is kept once
-    grouped = own.groupBy("size", "mark", "whole").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    grouped = own.groupBy("size", "mark", "whole", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
     grouped = table(grouped.withColumn("group", F.sha2(F.to_json("items"), 256)))
     lists = grouped.groupBy("group").agg(F.any_value("items").alias("items"))
     places = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("w")).select("row", "w.*")
-    hits = places.join(grouped.select("size", "mark", "whole", "group"), ["size", "mark", "whole"])
+    # hashes find the windows, their words decide
+    hits = places.join(grouped.select("size", "mark", "whole", "words", "group"), ["size", "mark", "whole", "words"])
     by_row = table(
         hits.groupBy("row")
         .agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("spans"), F.array_sort(F.collect_set("group")).alias("groups"))
@@ -202,11 +206,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs without a hit.  A doc_id goes when one of its rows is hit; rows without a doc_id
-    go when the text of one of them is hit."""
-    found = contamination(docs, items).where("n_hit > 0")
-    bad = found.select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(side(table(bad)), F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of docs without a hit.  Each row is judged by its own text, whatever rows share its doc_id."""
+    keyed = docs.select(text_key().alias("doc_id"), "text")
+    return without(docs, contamination(keyed, items).where("n_hit > 0"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NOT_SPACE, Texts, Words, documents, hash_bytes, id_text, mix, side, spread, table, texts, words
+from graphloom.llm.common import NOT_SPACE, Texts, Words, documents, hash_bytes, id_text, mix, spread, table, text_key, texts, without, words
 from graphloom.llm.quality_rules import estimate
 
 DIMENSIONS = 1 << 20
@@ -341,13 +341,9 @@ def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that the classifier keeps.
-
-    A doc_id goes when one of its rows is rejected; rows without a doc_id go
-    when one of them is.
-    """
-    bad = classify(docs, labels).where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(side(table(bad)), F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of docs that the classifier keeps.  Each row is judged by its own text, whatever rows share its doc_id."""
+    keyed = docs.select(text_key().alias("doc_id"), "text")
+    return without(docs, score(keyed, train(docs, labels)).where("not kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

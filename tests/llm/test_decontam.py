@@ -80,3 +80,21 @@ def test_empty_tables(spark):
     assert decontam.contamination(docs.limit(0), items).count() == 0
     assert decontam.contamination(docs, items.limit(0)).where("n_hit > 0 or n_items > 0").count() == 0
     assert decontam.keep_clean(docs, items.limit(0)).count() == docs.count()
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    item = "the quick brown fox jumps over the lazy dog the quick"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, item), (5, "quite another text"), (None, item), (None, "one more")], "doc_id long, text string")
+    assert sorted(r.text for r in decontam.keep_clean(docs, items).collect()) == ["one more", "quite another text"]
+
+
+def test_words_decide_where_hashes_agree(spark, monkeypatch):
+    from graphloom.llm import common
+
+    # a hash that tells words apart by length alone
+    monkeypatch.setattr(common.Words, "hashed", staticmethod(lambda raw, start, end: (end - start).astype("uint64")))
+    items = spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh ii jj")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zz " * 30), (2, "x aa bb cc dd ee ff gg hh ii jj")], "doc_id long, text string")
+    found = {r.doc_id: r.n_hit for r in decontam.contamination(docs, items).collect()}
+    assert found[1] == 0
