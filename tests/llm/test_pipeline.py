@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 from test_decontam import find
 from test_pii import pii
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_groups
 
 from graphloom.llm import bpe, quality_model
 
@@ -30,8 +30,8 @@ def tables(spark, path):
 def plain(docs, kept, items):
     """The stages after the classifier, one document at a time."""
     rows = [(d, t) for d, t in docs if d in kept]
-    roots = brute_components([(d, brute_fingerprint(t)) for d, t in rows])
-    rows = [(d, t) for (d, t), root in zip(rows, roots, strict=True) if d == root]
+    kept_rows = set(brute_groups(rows))
+    rows = [row for i, row in enumerate(rows) if i in kept_rows]
     windows = set()
     for item in items:
         own = find(item)

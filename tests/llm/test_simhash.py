@@ -119,3 +119,77 @@ def test_query_format(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((str(r.doc_id), r.fingerprint) for r in simhash.query(spark, str(tmp_path)).collect())
     assert got == sorted((str(r.doc_id), f"{brute_fingerprint(r.text):016x}") for r in docs.collect())
+
+
+def shingles(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_groups(rows):
+    """rows: [(doc_id, text)] -> place of the row that each row's group keeps; all pairs by exact similarity."""
+    sets = [shingles(t) for _, t in rows]
+    low = list(range(len(rows)))
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    size = sorted(range(len(rows)), key=lambda i: len(sets[i]))
+    for x, i in enumerate(size):
+        for j in size[x + 1 :]:
+            if len(sets[i]) < 0.8 * len(sets[j]):
+                break
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low[find(i)] = find(j)
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        r = find(i)
+        best[r] = min(best.get(r, (True, 0, 0)), (d is None, d or 0, i))
+    return [best[find(i)][2] for i in range(len(rows))]
+
+
+def check_groups(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {(rows[i][0], rows[i][1]) for i in brute_groups(rows)}
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    return got, kept
+
+
+def test_stage_against_brute_force(spark):
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(300)] for _ in range(12)]
+    more = []
+    for i in range(120):
+        words = list(base[i % 12])
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(300)] = f"x{rng.randrange(9)}"
+        more.append((200 + i, " ".join(words)))
+    got, kept = check_groups(spark, documents(spark, *more))
+    assert len(got) == len(set(got)) and set(got) == kept
+
+
+def test_stage_on_documents(spark):
+    got, kept = check_groups(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    assert set(got) == kept
+
+
+def test_bucket_of_unlike_texts_is_searched_to_the_end(spark, monkeypatch):
+    # one band that puts everything into one bucket: only the rounds can find the links
+    monkeypatch.setattr(simhash, "_band_keys", lambda low: np.zeros(1, np.uint64))
+    rng = random.Random(2)
+    base = [" ".join(f"v{rng.randrange(900)}" for _ in range(60)) for _ in range(9)]
+    rows = [(i, base[i % 9] + f" z{i}") for i in range(27)]
+    got, kept = check_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(got) == 9 and set(got) == kept
+
+
+def test_rows_that_repeat_an_id(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (None, a), (None, "c d"), (5, b)], "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert len(got) == 3 and set(got) == {(3, a), (5, b), (None, "c d")}
