@@ -7,10 +7,12 @@ one shard does not decide.  The margin is how much smaller the best size is
 than the second; narrow margins are flagged as rejected.
 
 Learning takes only rows whose crc32(doc_id as text) mod 4 is not 2, with text
-and language.  The dictionaries are a bounded sample: at most MAX_LANGUAGES
-languages (the most frequent), in expectation SAMPLE texts of each, of at most
-LONGEST characters, cut to DICTIONARY bytes a shard.  A language without any
-such text is not learned.  Prediction reads the whole text and nothing else.
+and language.  The dictionaries are a bounded sample of at most SAMPLE distinct
+texts of every language, those of the least hash in each of SAMPLE slots, so
+copies do not crowd out other texts and a language with any text is learned.
+Of a longer text a stretch of LONGEST characters is taken, and a shard has
+DICTIONARY bytes at most; beyond FULL_LANGUAGES languages both shrink, so that
+memory stays bounded.  Prediction reads the whole text and nothing else.
 
 Edge cases: a null text, and one without a letter, is ``und`` with score 0; so
 is every text if no language was learned.  Equal sizes go to the language first
@@ -29,12 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import crc_mod, documents, id_text, spread, texts
+from graphloom.llm.common import crc_mod, cut, documents, id_text, side, spread, texts
 
 SHARDS = 3
 DICTIONARY = 1 << 16
 LEVEL = 5
-MAX_LANGUAGES = 64
+FULL_LANGUAGES = 64  # more than these share the memory of as many
+SMALLEST = 2048
 SAMPLE = 400
 LONGEST = 8192
 SHORTEST = 200
@@ -52,36 +55,39 @@ def letters(text: str) -> bytes:
 
 
 def learn(docs: DataFrame) -> dict[str, list[bytes]]:
-    """The dictionaries of each language."""
+    """The dictionaries of each language, of which none is left out."""
     train = id_text(docs, F.col("lang").cast("string").alias("lang")).where(
-        F.coalesce(crc_mod("doc_id", FOLDS) != HELD_OUT, F.lit(True))
-        & F.col("lang").isNotNull()
-        & F.col("text").rlike(r"\p{L}")
-        & (F.length("text") <= LONGEST)
+        F.coalesce(crc_mod("doc_id", FOLDS) != HELD_OUT, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
+    )
+    # the text of the least hash of each slot; copies are one text, and texts that are too short come last
+    hashed = F.xxhash64("text")
+    rank = hashed.bitwiseAND(F.lit((1 << 62) - 1)) + F.when(F.length("text") < SHORTEST, F.lit(1 << 62)).otherwise(F.lit(0).cast("long"))
+    ranked = train.select("lang", "text", rank.alias("rank"), F.pmod(F.xxhash64(hashed), F.lit(SAMPLE)).alias("slot"))
+    least = cut(ranked.groupBy("lang", "slot").agg(F.min("rank").alias("rank")))
+    languages = least.select("lang").distinct().count()
+    # the memory of the dictionaries is bounded: many languages have smaller ones
+    part = min(1.0, FULL_LANGUAGES / max(1, languages))
+    slots, size = max(SHARDS, int(SAMPLE * part)), max(SMALLEST, int(DICTIONARY * part))
+    chosen = least
+    if part < 1:
+        few = least.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list("rank")), 1, slots).alias("rank"))
+        chosen = few.select("lang", F.explode("rank").alias("rank"))
+    at = F.pmod(hashed, F.greatest(F.length("text") - LONGEST + 1, F.lit(1))).cast("int") + 1
+    rows = (
+        ranked.join(side(chosen.select("lang", "rank")), ["lang", "rank"], "left_semi")
+        .select("lang", "rank", F.substring("text", at, F.lit(LONGEST)).alias("text"))
+        .dropDuplicates(["lang", "rank"])
+        .collect()
     )
-    # texts of a middling length, where a language has any
-    train = train.withColumn("fits", F.length("text") >= SHORTEST)
-    counts = train.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("fits").alias("fit"))
-    share = {
-        r["lang"]: (r["fit"] > 0, min(1.0, SAMPLE / (r["fit"] or r["n"])))
-        for r in counts.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    }
-    if not share:
-        return {}
-    chosen = F.lit(False)
-    # a fixed draw by text: copies are drawn together and then dropped
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    for lang, (fits, part) in share.items():
-        own = (F.col("lang") == lang) & (draw < part)
-        chosen = chosen | (own & F.col("fits") if fits else own)
-    rows = train.where(chosen).select("lang", "text", draw.alias("draw")).distinct().collect()
     sample: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["draw"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["rank"], r["text"])):
         sample.setdefault(r["lang"], []).append(letters(r["text"]))
     out = {}
     for lang, found in sorted(sample.items()):
-        shards = [b"\n".join(found[k::SHARDS])[:DICTIONARY] for k in range(min(SHARDS, len(found)))]
-        out[lang] = [s for s in shards if len(s) >= 8] or [shards[0] * 8]
+        if not any(found):  # the stretch of a long text may miss its few letters
+            found = [b"\0"]
+        shards = [b"\n".join(found[k::SHARDS])[:size] for k in range(min(SHARDS, len(found)))]
+        out[lang] = [s for s in shards if len(s) >= 8] or [max(shards, key=len) * 8]
     return out
 
 
