@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
+        for p in sorted(x for kind in ("*.py", "*.txt") for x in root.rglob(kind)):
             z.write(p, str(Path(root.name) / p.relative_to(root)))
     sc.addPyFile(str(archive))
     _shipped.add(sc.applicationId)
@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="graphloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
