@@ -1,10 +1,13 @@
 """Licence scans by a generalised suffix automaton of licence tokens.
 
-All templates go into one automaton.  A text is streamed through it word by
+The templates are whole licence texts, read from the folder ``licences``, and
+notices.  All go into one automaton.  A text is streamed through it word by
 word, which gives the longest run of template words that ends at each place.
-Long matches are chained, in order, into the span of a template they cover, and
-a span that covers enough of its template labels the document.  The four base
-phrases are looked up besides and always count.
+Long matches are chained by dynamic programming over their places in text and
+template into the span of a template they cover best, and a span that covers
+enough of its template labels the document.  Words that lie within a longer run
+of another template go to that one.  The four base phrases are looked up
+besides, compared word by word, and always count.
 
 Only runs of at least MIN_MATCH words that occur in some template can hold a
 match, so the automaton walks those runs and skips the rest.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ PHRASES = (
     ("mit license", "mit"),
 )
 #: Opening words of well-known public licence texts and notices, and their labels.
-TEMPLATES = (
+NOTICES = (
     ("mit-notice", "Released under the MIT License."),
     (
         "mit-text",
@@ -73,7 +77,12 @@ TEMPLATES = (
     ),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
-MIN_MATCH = 3
+#: All templates: the notices, and the whole texts of the folder, named by their files.
+TEMPLATES = NOTICES + tuple(
+    (f.name.removesuffix(".txt"), f.read_text())
+    for f in sorted((files(__package__) / "licences").iterdir(), key=lambda f: f.name)
+)
+MIN_MATCH = 5
 MAX_GAP = 4
 MIN_COVER = 0.75
 
@@ -154,7 +163,7 @@ class Scanner:
         number = {w: k for k, w in enumerate(known)}
         self.sequences = [[number[w] for w in s] for s in spelled]
         self.automaton = Automaton(self.sequences)
-        self.phrases = [([number[w] for w in tokens(p)], label) for p, label in phrases]
+        self.phrases = [([number[w] for w in tokens(p)], tokens(p), label) for p, label in phrases]
         hashes = np.array([hash_bytes(w) for w in known], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order.astype(np.int64)
@@ -180,28 +189,32 @@ class Scanner:
     def cover(self, runs: list[tuple[int, list[int]]]) -> list[tuple[str, float, int, int]]:
         """label, share of the template covered, first and last word, of the best chain of each template.
 
-        runs: (place of the first word, word numbers).  A match goes on with the
-        chain of its template if it starts at most max_gap words after it, both
-        in the text and in the template.
+        runs: (place of the first word, word numbers).  A chain goes on with a
+        match that begins at most max_gap words after it, both in the text and in
+        the template; words that both have count once.  Chains that a later match
+        can still reach are kept, the best for each place in the template.
         """
-        open_, best = {}, {}
+        open_: dict[int, dict[int, tuple[int, int, int]]] = {}  # template -> its place -> (covered, end in the text, first word)
+        best: dict[int, tuple[float, int, int]] = {}
+        gap = self.max_gap
         for place, run in runs:
             for end, length, state in self.automaton.matches(run, self.min_match):
+                start, stop = place + end - length, place + end
                 for number, last in self.automaton.ends[state]:
-                    start, from_ = place + end - length, last - length + 1
-                    chain = open_.get(number)
-                    if (
-                        chain
-                        and 0 <= start - chain[1] <= self.max_gap
-                        and 0 <= from_ - chain[2] <= self.max_gap
-                    ):
-                        chain = (chain[0], start + length, last + 1, chain[3] + length)
-                    else:
-                        chain = (start, start + length, last + 1, length)
-                    open_[number] = chain
-                    share = chain[3] / len(self.sequences[number])
+                    from_, to = last - length + 1, last + 1
+                    chains = open_.setdefault(number, {})
+                    top = (length, stop, start)
+                    for at, (covered, until, first) in list(chains.items()):
+                        if until + gap < start:
+                            del chains[at]
+                            continue
+                        both = max(0, until - start, at - from_)
+                        if both < length and start + both - until <= gap and from_ + both - at <= gap:
+                            top = max(top, (covered + length - both, stop, first))
+                    chains[to] = max(top, chains.get(to, top))
+                    share = top[0] / len(self.sequences[number])
                     if share > best.get(number, (0.0,))[0]:
-                        best[number] = (share, chain[0], chain[1] - 1)
+                        best[number] = (share, top[2], stop - 1)
         return [(self.labels[k], *best[k]) for k in sorted(best)]
 
     def batch(self, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -221,12 +234,14 @@ class Scanner:
             if not len(some):
                 continue
             row_of = w.row_of()
-            for phrase, label in self.phrases:
+            for phrase, spelled, label in self.phrases:
                 at = some[ids[some] == phrase[0]]
                 at = at[at + len(phrase) <= w.first[1:][row_of[at]]]
                 for j, word in enumerate(phrase[1:], 1):
                     at = at[ids[at + j] == word]
                 for p in at.tolist():
+                    if any(w.bytes[w.start[p + j] : w.end[p + j]].tobytes() != x for j, x in enumerate(spelled)):
+                        continue
                     row, place = int(row_of[p]), int(p - w.first[row_of[p]])
                     i = row + a
                     base[i].add(label)

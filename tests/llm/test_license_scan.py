@@ -75,3 +75,66 @@ def test_every_template_finds_itself():
     scanner = Scanner()
     for (label, _), sequence in zip(license_scan.TEMPLATES, scanner.sequences, strict=True):
         assert (label, 1.0) in [x[:2] for x in scanner.cover([(0, sequence)])]
+
+
+def brute_cover(words, template, least, gap):
+    """Best chain of runs of at least ``least`` words that both share, over all pairs of places."""
+    n, m = len(words), len(template)
+    blocks = []
+    for i in range(n):
+        for j in range(m):
+            if words[i] == template[j] and (i == 0 or j == 0 or words[i - 1] != template[j - 1]):
+                k = 0
+                while i + k < n and j + k < m and words[i + k] == template[j + k]:
+                    k += 1
+                if k >= least:
+                    blocks.append((i, j, k))
+    blocks.sort(key=lambda b: (b[0] + b[2], b[0], b[1]))
+    covered = []
+    for x, (i, j, k) in enumerate(blocks):
+        value = k
+        for y, (a, b, c) in enumerate(blocks[:x]):
+            both = max(0, a + c - i, b + c - j)
+            if both < k and i + both - a - c <= gap and j + both - b - c <= gap:
+                value = max(value, covered[y] + k - both)
+        covered.append(value)
+    return max(covered, default=0) / m
+
+
+def test_chains_against_brute_force():
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(60)]  # no word twice: the longest run at a place is the only one
+    scanner = Scanner([("t", " ".join(template))], (), min_match=3, max_gap=4, min_cover=0.5)
+    for _ in range(200):
+        words = list(template)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(3)] = rng.choices([*template, "x", "y"], k=rng.randrange(4))
+        ids = [scanner.hashes.tolist().index(license_scan.hash_bytes(w.encode())) if w in template else -1 for w in words]
+        numbers = [int(scanner.number[i]) if i >= 0 else -1 for i in ids]
+        runs, run, start = [], [], 0
+        for i, x in enumerate([*numbers, -1]):
+            if x < 0:
+                runs += [(start, run)] if len(run) >= 3 else []
+                run, start = [], i + 1
+            else:
+                run.append(x)
+        got = max((x[1] for x in scanner.cover(runs)), default=0)
+        assert abs(got - brute_cover(words, template, 3, 4)) < 1e-9
+
+
+def test_words_inserted_from_the_template_keep_its_label():
+    text = dict(license_scan.TEMPLATES)["gpl-header"]
+    own = text.replace("you can redistribute it", "any later version you can redistribute it")
+    scanner = Scanner()
+    number = {w: k for k, w in enumerate(sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.tokens(t)}))}
+    found = dict(x[:2] for x in scanner.cover([(0, [number[w] for w in license_scan.tokens(own)])]))
+    assert found["gpl-header"] == 1.0
+
+
+def test_whole_licence_texts(spark):
+    rows = [(i, "Copyright of somebody.\n" + text) for i, (_, text) in enumerate(license_scan.TEMPLATES)]
+    rows.append((99, ("prose of its own " * 400) + dict(license_scan.TEMPLATES)["gpl-3"] * 3 + " more prose" * 9000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.labels.split(",") for r in license_scan.scan(docs).collect()}
+    assert all(label in found[i] for i, (label, _) in enumerate(license_scan.TEMPLATES)) and "gpl-3" in found[99]
