@@ -5,8 +5,8 @@ Every version of a text is addressed by its SHA-256.  A ledger holds, for each
 pairs the ledger does not have, once per blob however many paths carry it, and
 joins the findings back to all paths.
 
-Places of matches come from the text split by the same pattern: the lengths of
-the pieces and of the matches, summed, are the starts and ends in code points.
+Places of matches come from the text split by the same pattern: the running
+sums of the lengths of pieces and matches are the ends in code points.
 
 Edge cases: a null text is an empty blob, without findings.  Rows that repeat
 a doc_id are returned each; a null doc_id is returned.  An empty table gives an
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm.common import documents, id_text, table
 
@@ -28,8 +29,9 @@ ASSIGN = (
 #: kind, pattern, what a match must be to count; the first three are the base, in the order of the contract
 RULES = (
     ("assign", ASSIGN, r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}$"""),
-    ("access", r"AKIA[A-Z0-9]+", r"^.{18,}$"),
-    ("hex", r"[0-9a-f]+", r"^.{16,}$"),
+    # runs are maximal, so asking for their length in the pattern gives the same spans as dropping short ones
+    ("access", r"AKIA[A-Z0-9]{14,}", ""),
+    ("hex", r"[0-9a-f]{16,}", ""),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", ""),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ""),
     ("hosting_token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})", ""),
@@ -40,43 +42,41 @@ BASE = ("assign", "access", "hex")
 SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
 
 
-def _spans(rank: int, kind: str, pattern: str, test: str):
-    """Spans of one rule in the column text; null-free, in order of their start."""
+STEP = "array<struct<rank:int,at:int,piece:int,size:int,good:boolean>>"
+
+
+def _steps(rank: int, pattern: str, test: str):
+    """For each match of one rule in the column text: its place among them, the length of the piece before it, and its own."""
     pieces = F.split("text", pattern, -1)
     matches = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    steps = F.zip_with(
-        F.transform(pieces, lambda x: F.length(x)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m"))
-    )
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found")),
-        lambda s, x: F.struct(
-            (s["at"] + x["p"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(
-                x["m"].isNotNull() & (x["m"].rlike(test) if test else F.lit(True)),
-                F.array_append(
-                    s["found"],
-                    F.struct(
-                        (s["at"] + x["p"]).alias("start"),
-                        F.lit(rank).alias("rank"),
-                        F.lit(kind).alias("kind"),
-                        (s["at"] + x["p"] + F.length(x["m"])).alias("stop"),
-                    ),
-                ),
-            )
-            .otherwise(s["found"])
-            .alias("found"),
+    good = (lambda m: m.rlike(test)) if test else (lambda m: F.lit(True))
+    steps = F.transform(
+        F.arrays_zip(pieces.alias("p"), matches.alias("m")),
+        lambda x, i: F.struct(
+            F.lit(rank).alias("rank"), i.alias("at"), F.length(x["p"]).alias("piece"), F.length(x["m"]).alias("size"), good(x["m"]).alias("good")
         ),
-        lambda s: s["found"],
     )
-    hint = pattern if not test else {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{14}", "hex": "[0-9a-f]{16}"}[kind]
-    return F.when(F.col("text").rlike(hint), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
+    steps = F.filter(steps, lambda x: x["size"].isNotNull())  # the piece after the last match
+    return F.when(F.col("text").rlike(pattern), steps).otherwise(F.array().cast(STEP))
 
 
 def scan(blobs: DataFrame) -> DataFrame:
-    """blob, rules, found: all spans in each blob's whole text, by start, then kind as listed."""
-    rules = [_spans(k, *rule) for k, rule in enumerate(RULES)]
-    return blobs.select("blob", F.lit(RULE_VERSION).alias("rules"), F.array_sort(F.concat(*rules)).alias("found"))
+    """blob, rules, found: all spans in each blob's whole text, by start, then kind as listed.
+
+    The running sums that give the places are a window over the matches of a
+    blob and rule, linear in their number; it needs no shuffle of its own where
+    blobs are dealt out by their address.
+    """
+    kinds = F.array(*[F.lit(kind) for kind, *_ in RULES])
+    steps = F.concat(*[_steps(k, pattern, test) for k, (_, pattern, test) in enumerate(RULES)])
+    rows = blobs.select("blob", F.explode_outer(steps).alias("x")).select("blob", "x.*")
+    until = Window.partitionBy("blob", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("stop", F.sum(F.col("piece") + F.col("size")).over(until).cast("int"))
+    span = F.struct(
+        (F.col("stop") - F.col("size")).alias("start"), "rank", F.get(kinds, F.col("rank")).alias("kind"), "stop"
+    )
+    found = placed.groupBy("blob").agg(F.array_sort(F.collect_list(F.when(F.col("good"), span))).alias("found"))
+    return found.select("blob", F.lit(RULE_VERSION).alias("rules"), F.col("found").cast(f"array<{SPAN}>").alias("found"))
 
 
 def versions(docs: DataFrame) -> DataFrame:

@@ -89,3 +89,8 @@ def test_empty_table_and_clashing_columns(spark):
     assert secrets.findings(none, secrets.update(none)).count() == 0
     docs = documents(spark).selectExpr("*", "1 as blob", "2 as found", "3 as rules")
     assert secrets.findings(docs, secrets.update(docs)).count() == docs.count()
+
+
+def test_many_keys_in_one_long_text(spark):
+    text = " ".join(f"key{i} = {i:016x} token: {i:020d}" for i in range(20_000))  # about 1 MB
+    check(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), spark)
