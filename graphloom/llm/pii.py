@@ -12,9 +12,17 @@ Across formats, and against the entities that are really in the corpus, a
 collision check makes sure: a surrogate that equals any entity or an earlier
 surrogate is drawn anew, round by round, in joins over the distinct entities.
 Only the few entities that needed another draw travel back to the documents.
+Where real values fill a format, so that MAX_DRAWS draws found nothing free, a
+surrogate may be a real value, of another entity; after as many draws again,
+when a format is all but full, two entities may share one.  No surrogate ever
+leaves its format.
 
 Kinds: email, card, iban, ssn, ip, phone, and person names after a form of
-address; their words are then replaced wherever they stand in the document.
+address or of a listed given name and a capitalised word; their words are then
+replaced wherever they stand in the document.
+
+The key is the setting spark.graphloom.pii.key.  Without it a public one is
+used, with a warning: anyone can undo those surrogates.
 
 Edge cases: a null or empty text stays as it is.  Texts without entities are
 returned unchanged, byte for byte.  Rows that repeat a doc_id are treated each;
@@ -26,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +48,7 @@ from graphloom.llm.common import LETTERS, cut, documents, hash_bytes, spread, ta
 from graphloom.session import ship
 
 KEY = b"graphloom: replace this key in production"
+KEY_SETTING = "spark.graphloom.pii.key"
 MAX_DRAWS = 32
 SMALLEST_FORMAT = 10_000  # formats with fewer strings than this get a longer surrogate
 
@@ -94,6 +104,10 @@ _NAME = regex.compile(
     r"(?<!\w)(" + "|".join(sorted({x.capitalize() for x in ADDRESS}, key=len, reverse=True)) + r")\b\.?\s+"
     r"(\p{Lu}[\p{L}'’-]+(?:\s+\p{Lu}[\p{L}'’-]+){0,2})"
 )
+#: Given names that are words as well, so alone they name nobody.
+_WORDS = {"Mark", "Eva"}
+_GIVEN_NAMES = sorted({n for names in GIVEN.values() for n in names} - _WORDS, key=lambda n: (-len(n), n))
+_PAIR = regex.compile(r"(?<!\w)(" + "|".join(map(regex.escape, _GIVEN_NAMES)) + r")\s+(\p{Lu}[\p{L}'’-]+)")
 _GENDER_OF = {name.lower(): gender for (_, gender), names in GIVEN.items() for name in names}
 
 
@@ -162,6 +176,13 @@ def _iban_rest(value: str) -> int:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
 
 
+#: Address blocks of their own, which a surrogate does not leave; first address and size.
+_BLOCKS = (
+    (0, 1 << 24), (10 << 24, 1 << 24), (127 << 24, 1 << 24), (0xA9FE0000, 1 << 16), (0xAC100000, 1 << 20), (0xC0A80000, 1 << 16),
+    (224 << 24, 1 << 29),
+)
+
+
 def _network(value: str) -> str:
     a, b = map(int, value.split(".")[:2])
     if a in (0, 10, 127):
@@ -186,7 +207,8 @@ def _syllables(x: int, script: str) -> str:
 def _name(role: str, value: str, key: bytes, draw: int) -> str:
     """A name word of the same script; given names keep their gender, and listed ones stay on the list while it has free names."""
     script = _script(value)
-    number = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=5, key=key[:64], salt=f"{role[:8]}{draw}".encode()).digest(), "big")
+    # late draws are longer, so that there are always enough
+    number = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=5 if draw <= MAX_DRAWS else 10, key=key[:64], salt=f"{role[:8]}{draw}".encode()).digest(), "big")
     if role in ("given_m", "given_f"):
         pool = GIVEN[script, role[-1]]
         lower = [n.lower() for n in pool]
@@ -200,15 +222,13 @@ def _name(role: str, value: str, key: bytes, draw: int) -> str:
 def surrogate(kind: str, value: str, draw: int = 1, key: bytes = KEY) -> str:
     """The draw-th candidate for an entity in canonical form."""
     tweak = f"{kind}\0{draw}"
-    if draw > MAX_DRAWS:
-        return f"{kind}-{hashlib.blake2b(value.encode(), digest_size=16, key=key[:64]).hexdigest()}"
     if kind in ("given_m", "given_f", "family"):
         return _name(kind, value, key, draw)
     if kind == "ip":
-        octets = [int(x) for x in value.split(".")]
-        x = int.from_bytes(bytes(octets), "big")
+        x = int.from_bytes(bytes(int(o) for o in value.split(".")), "big")
+        base, size = next(((at, n) for at, n in _BLOCKS if at <= x < at + n), (0, 1 << 32))
         while True:
-            x = permute(x, 1 << 32, key, tweak)
+            x = base + permute(x - base, size, key, f"{tweak}\0{base}")
             found = ".".join(map(str, x.to_bytes(4, "big")))
             if _network(found) == _network(value):
                 return found
@@ -250,6 +270,8 @@ def _dress(kind: str, found: str, value: str) -> str:
     if kind in ("card", "iban") and len(value) == len(canonical(kind, found)):
         rest = iter(value)
         return "".join(next(rest) if c not in " -" else c for c in found)
+    if kind == "email" and len(found) == len(value):
+        return "".join(v.upper() if f.isupper() else v for f, v in zip(found, value, strict=True))
     if kind == "email" and found.isupper():
         return value.upper()
     if kind in ("given_m", "given_f", "family") and found.isupper() and len(found) > 1:
@@ -265,8 +287,13 @@ def _real(kind: str, value: str) -> bool:
     return True
 
 
+def _gender(name: str) -> str:
+    """Of a lower-cased given name: as listed, else by its ending."""
+    return _GENDER_OF.get(name) or ("f" if name[-1] in "aая" else "m")
+
+
 def name_roles(text: str) -> dict[str, str]:
-    """Lower-cased name words that follow a form of address, and their roles."""
+    """Lower-cased name words that follow a form of address or are a listed given name and its family name, and their roles."""
     roles: dict[str, str] = {}
     for m in _NAME.finditer(text):
         gender = ADDRESS[m[1].lower()]
@@ -275,46 +302,65 @@ def name_roles(text: str) -> dict[str, str]:
             if len(part) < 2:
                 continue
             if i + 1 < len(parts):
-                roles.setdefault(part, f"given_{gender or _GENDER_OF.get(part, 'm')}")
+                roles.setdefault(part, f"given_{gender or _gender(part)}")
             else:
                 roles.setdefault(part, "family")
+    for m in _PAIR.finditer(text):
+        roles.setdefault(m[1].lower(), f"given_{_gender(m[1].lower())}")
+        roles.setdefault(m[2].lower(), "family")
     return roles
 
 
 def detect(text: str, digits: bool = True, names: bool = True) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities of a text, in order and without overlap."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = np.zeros(len(text), bool)
     for kind, pattern in PATTERNS:
         if not digits and kind != "email" or kind == "email" and "@" not in text:
             continue
-        own = []
         for m in pattern.finditer(text):
             value = canonical(kind, m[0])
-            if _real(kind, value):
-                own.append((m.start(), m.end(), kind, value))
-        if taken:
-            own = [x for x in own if not _overlaps(taken, x)]
-        found += own
-        taken = sorted([(x[0], x[1]) for x in found])
+            if not taken[m.start() : m.end()].any() and _real(kind, value):
+                found.append((m.start(), m.end(), kind, value))
+        for start, end, own, _ in found:
+            if own == kind:
+                taken[start:end] = True
     roles = name_roles(text) if names else {}
     if roles:
-        words_ = regex.compile(r"(?<!\w)(?:" + "|".join(map(regex.escape, sorted(roles, key=len, reverse=True))) + r")(?!\w)", regex.I)
-        for m in words_.finditer(text):
-            x = (m.start(), m.end(), roles.get(m[0].lower(), "family"), m[0].lower())
-            if m[0][0].isupper() and not _overlaps(taken, x):
-                found.append(x)
+        for m in _CAPITALISED.finditer(text):
+            # a name may hold hyphens and the like: the longest stretch of parts that is a name
+            parts = [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0])]
+            i = 0
+            while i < len(parts):
+                start, step = parts[i][0], 1
+                for j in range(len(parts) - 1, i - 1, -1):
+                    end = parts[j][1]
+                    name = text[start:end].lower()
+                    if name in roles:
+                        if text[start].isupper() and not taken[start:end].any():
+                            found.append((start, end, roles[name], name))
+                        step = j - i + 1
+                        break
+                i += step
     return sorted(found)
 
 
-def _overlaps(taken: list[tuple[int, int]], x: tuple) -> bool:
-    at = np.searchsorted([t[0] for t in taken], x[1]) if taken else 0
-    return bool(at) and taken[at - 1][1] > x[0]
+_CAPITALISED = regex.compile(r"(?<!\w)\p{Lu}[\w'’-]*")
+_PART = regex.compile(r"\w+")
 
 
 # words are lower-cased in ASCII only, so a capital of another script is its own spelling
 _ADDRESS_HASHES = np.sort(
-    np.array([hash_bytes(x.encode()) for x in {*ADDRESS, *(x.capitalize() for x in ADDRESS if not x[0].isascii())}], np.uint64)
+    np.array(
+        [
+            hash_bytes(x.encode())
+            for x in {
+                *ADDRESS, *(x.capitalize() for x in ADDRESS if not x[0].isascii()),
+                *("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in n) for n in _GIVEN_NAMES),
+            }
+        ],
+        np.uint64,
+    )
 )
 
 
@@ -364,7 +410,8 @@ def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, value, draw of the distinct entities whose first surrogate would collide.
 
     A draw is taken if it equals no entity of the corpus, no surrogate taken
-    before, and is the first of its round; the others draw again.
+    before, and is the first of its round; the others draw again, from
+    MAX_DRAWS on without the first condition, and from twice as many on without any.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,9 +429,12 @@ def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
         made = cut(pending.mapInArrow(run, "kind string, value string, draw int, made string"))
         first = made.groupBy("made").agg(F.min(F.struct("kind", "value")).alias("first"))
         good = made.join(first, "made").where((F.struct("kind", "value") == F.col("first"))).drop("first")
-        good = good.join(real, "made", "left_anti")
-        if taken is not None:
+        if draw <= MAX_DRAWS:
+            good = good.join(real, "made", "left_anti")
+        if taken is not None and draw <= 2 * MAX_DRAWS:
             good = good.join(taken, "made", "left_anti")
+        if draw > 2 * MAX_DRAWS:
+            good = made
         good = cut(good)
         pending = cut(made.join(good.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value"))
         new = good.select("made")
@@ -393,7 +443,7 @@ def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
             again = good.select("kind", "value", "draw")
             late = again if late is None else late.unionByName(again)
         draw += 1
-        if pending.isEmpty() or draw > MAX_DRAWS + 1:
+        if pending.isEmpty():
             break
         pending = pending.withColumn("draw", F.lit(draw))
     return late if late is not None else good.select("kind", "value", "draw").limit(0)
@@ -410,8 +460,18 @@ def replace(text: str, drawn: dict[tuple[str, str], int], key: bytes, digits: bo
     return "".join(out) + text[at:], len(found)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str | None = None) -> DataFrame:
+def key_of(spark) -> bytes:
+    """The key of the session's settings, else the public one."""
+    own = spark.conf.get(KEY_SETTING, "")
+    if own:
+        return own.encode()
+    warnings.warn(f"{KEY_SETTING} is not set: surrogates are made with a public key and can be undone", stacklevel=3)
+    return KEY
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, count: str | None = None) -> DataFrame:
     """docs with surrogates in the column text; count names a column for the number of entities."""
+    key = key or key_of(docs.sparkSession)
     found = table(entities(docs))
     late = redrawn(cut(found.select("kind", "value").distinct()), key)
     kind = "array<struct<kind:string,value:string,draw:int>>"

@@ -129,3 +129,56 @@ def test_names_of_a_used_up_list_and_cyrillic_address(spark):
     assert len(set(names)) == len(men) and not set(names) & set(men)
     assert all(name.isalpha() and name.istitle() and name.endswith("n") for name in names)
     assert "Иван" not in after[99] and "Кузнецов" not in after[99]
+
+
+def test_names_without_a_form_of_address_and_case_of_mails():
+    got = pii.detect("Contact John Smith or Mary O'Brien-Fox; O'Brien-Fox's office. Mark The Date. Dr Zara Quill")
+    assert [(k, v) for _, _, k, v in got] == [
+        ("given_m", "john"), ("family", "smith"), ("given_f", "mary"), ("family", "o'brien-fox"), ("family", "o'brien-fox"),
+        ("given_f", "zara"), ("family", "quill"),
+    ]
+    made, _ = pii.replace("Write to John.Doe@Example.com", {}, KEY, True, True)
+    assert [c.isupper() for c in made[9:21]] == [c.isupper() for c in "John.Doe@Example.com"[:12]]
+
+
+def test_no_surrogate_leaves_its_format_when_the_format_is_full(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_DRAWS", 3)
+    values = [f"192.168.{i // 256}.{i % 256}" for i in range(1 << 16)]
+    found = spark.createDataFrame([("ip", v) for v in values], "kind string, value string")
+    draws = {r.value: r.draw for r in pii.redrawn(found, KEY).collect()}
+    hosts = [pii.surrogate("ip", v, draws.get(v, 1), KEY) for v in values]
+    assert set(hosts) == set(values)  # nothing else is left: other entities' values, each once
+
+
+def plain(rows, key):
+    """All rounds of draws over plain sets, then each text on its own."""
+    found = [pii.detect(t or "") for _, t in rows]
+    pending = {(k, v) for own in found for *_, k, v in own}
+    real, taken, draws, draw = {v.lower() for _, v in pending}, set(), {}, 1
+    while pending:
+        made = {e: pii.canonical(e[0], pii.surrogate(*e, draw, key)).lower() for e in pending}
+        first = {}
+        for e in sorted(pending):
+            first.setdefault(made[e], e)
+        good = {e for e in pending if first[made[e]] == e and made[e] not in real and made[e] not in taken}
+        taken |= {made[e] for e in good}
+        draws |= dict.fromkeys(good, draw)
+        pending, draw = pending - good, draw + 1
+    return sorted((d, pii.replace(t, draws, key, True, True)[0] if t else t) for d, t in rows)
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000 + i, f"Miss {n} Mooney was here") for i, n in enumerate(pii.GIVEN["latin", "f"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set(pii.KEY_SETTING, "test")
+    try:
+        got = sorted((r.doc_id, r.text) for r in pii.query(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert got == plain(rows, b"test")
+
+
+def test_many_entities_in_one_text():
+    text = " ".join(f"u{i}@x{i}.org 10.{i % 250}.{i // 250 % 250}.7" for i in range(20_000))
+    assert len(pii.detect(text)) == 40_000
