@@ -318,7 +318,7 @@ class _File:
             open_ = j + 1
             if self.at(open_).text == "<":
                 k, depth = open_, 0
-                while k < len(t) and k < open_ + 40:
+                while k < len(t):
                     depth += {"<": 1, ">": -1}.get(t[k].text, 0)
                     if not depth or t[k].text in (";", "{"):
                         break

@@ -41,7 +41,7 @@ def reachable(edges: DataFrame, starts: DataFrame | None = None, kernel: int = K
         step = frontier.withColumnRenamed("node", "source").join(edges, "source")
         step = step.select("start", F.col("target").alias("node")).distinct()
         frontier = cut(step.join(found, ["start", "node"], "left_anti"))
-        found = cut(found.unionByName(frontier))
+        found = found.unionByName(frontier)  # each round is written once
     return found.where("start <> node")
 
 
@@ -138,14 +138,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, longest: int = 64) -> DataFrame:
-    """step, node of the first shortest path from start to goal; empty if there is none within ``longest``."""
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
+    """step, node of the first shortest path from start to goal; empty if there is none."""
     spark = edges.sparkSession
     e = cut(edges.select("source", "target").distinct())
     kind = e.schema["source"].dataType
     found = spark.createDataFrame([(start,)], "node string").select(F.col("node").cast(kind), F.lit(None).cast(kind).alias("via"), F.lit(0).alias("step"))
-    last = found
-    for k in range(1, longest + 1):
+    last, k = found, 0
+    while True:
+        k += 1
         if not found.where(F.col("node") == F.lit(goal)).isEmpty():
             break
         step = last.select(F.col("node").alias("source")).join(e, "source").groupBy(F.col("target").alias("node")).agg(F.min("source").alias("via"))

@@ -78,7 +78,7 @@ def links(specifiers: DataFrame, paths: DataFrame, suffixes: tuple[str, ...] = (
 # --- re-exports ------------------------------------------------------------
 
 
-def reexport_origins(exports: DataFrame, named: DataFrame, wildcards: DataFrame, asked: DataFrame, longest: int = 32) -> DataFrame:
+def reexport_origins(exports: DataFrame, named: DataFrame, wildcards: DataFrame, asked: DataFrame) -> DataFrame:
     """file, symbol, origin, original: where an exported symbol of a barrel is really from.
 
     exports: file, symbol of its own; named: file, symbol, target, original;
@@ -97,7 +97,7 @@ def reexport_origins(exports: DataFrame, named: DataFrame, wildcards: DataFrame,
     by_name = named.select(F.col("file").alias("at"), F.col("symbol").alias("name"), F.col("target").alias("next"), F.col("original").alias("next_name"))
     stars = wildcards.select(F.col("file").alias("at"), "seq", F.col("target").alias("next"))
     ended = None
-    for _ in range(longest):
+    while True:  # it ends, as no way enters a file twice
         here = way.join(own, ["at", "name"], "left_semi")
         done = here.select("file", "symbol", F.array_append("rank", F.lit(0)).alias("rank"), F.col("at").alias("origin"), F.col("name").alias("original"))
         rest = way.join(own, ["at", "name"], "left_anti")

@@ -28,8 +28,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def parts(spark: SparkSession, d: str, band: int, dag: bool = False) -> tuple[DataFrame, DataFrame]:
-    return L.view(spark, d, L.PART_FILES), L.view(spark, d, L.imports_sql(band, dag))
+def parts(spark: SparkSession, d: str, like: str, dag: bool = False) -> tuple[DataFrame, DataFrame]:
+    return L.view(spark, d, L.PART_FILES), L.view(spark, d, L.imports_sql(like, dag))
 
 
 def graph(spark: SparkSession, d: str) -> Graph:
@@ -49,8 +49,8 @@ def quoted(xs) -> str:
     return ", ".join(f"'{x}'" for x in xs)
 
 
-_E12, _E40, _E80 = L.imports_sql(12), L.imports_sql(40), L.imports_sql(80)
-_DAG = L.imports_sql(40, dag=True)
+_SPARSE, _DENSE, _CYCLIC = (L.imports_sql(like) for like in ("sparse", "dense", "cyclic"))
+_DAG = L.imports_sql("dense", dag=True)
 _CLOSURE = "WITH RECURSIVE e AS ({edges}), r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON r.target = e.source) "
 
 
@@ -130,10 +130,10 @@ def _(spark, d):
 
 @query(
     "file_removal",
-    f"WITH e AS ({_E40}) SELECT count(*) AS edges, count(DISTINCT source) AS sources FROM e WHERE source % 5 <> 0 AND target % 5 <> 0",
+    f"WITH e AS ({_DENSE}) SELECT count(*) AS edges, count(DISTINCT source) AS sources FROM e WHERE source % 5 <> 0 AND target % 5 <> 0",
 )
 def _(spark, d):
-    files, e = parts(spark, d, 40)
+    files, e = parts(spark, d, "dense")
     path = lambda c: F.concat(F.lit("file:"), F.col(c).cast("string"))
     nodes = files.select(path("id").alias("id"), F.lit("file").alias("node_type"), F.col("id").cast("string").alias("file_path"))
     edges = e.select(path("source").alias("source"), path("target").alias("target"), F.lit("imports").alias("edge_type"))
@@ -152,68 +152,69 @@ def _(spark, d):
 
 @query(
     "degree_distribution",
-    f"WITH e AS ({_E40}), o AS (SELECT source AS node, count(*) AS n FROM e GROUP BY 1), i AS (SELECT target AS node, count(*) AS n FROM e GROUP BY 1) "
+    f"WITH e AS ({_DENSE}), o AS (SELECT source AS node, count(*) AS n FROM e GROUP BY 1), i AS (SELECT target AS node, count(*) AS n FROM e GROUP BY 1) "
     "SELECT coalesce(o.node, i.node) AS node, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM o FULL OUTER JOIN i ON o.node = i.node",
 )
 def _(spark, d):
-    return closure.degrees(parts(spark, d, 40)[1])
+    return closure.degrees(parts(spark, d, "dense")[1])
 
 
 # --- closure ---------------------------------------------------------------
 
 
-@query("rdeps_closure", f"{_closure(_E12)} SELECT target AS start, source AS node FROM r WHERE target <> source AND target % 10 = 0")
+@query("rdeps_closure", f"{_closure(_SPARSE)} SELECT target AS start, source AS node FROM r WHERE target <> source")
 def rdeps(spark, d):
-    files, e = parts(spark, d, 12)
-    return closure.dependents(e, files.where("id % 10 = 0"))
+    files, e = parts(spark, d, "sparse")
+    return closure.dependents(e, files)
 
 
-@query("deps_closure", f"{_closure(_E12)} SELECT source AS start, target AS node FROM r WHERE target <> source AND source % 10 = 0")
+@query("deps_closure", f"{_closure(_SPARSE)} SELECT source AS start, target AS node FROM r WHERE target <> source")
 def _(spark, d):
-    files, e = parts(spark, d, 12)
-    return closure.dependencies(e, files.where("id % 10 = 0"))
+    files, e = parts(spark, d, "sparse")
+    return closure.dependencies(e, files)
 
 
-@query("closure_all_pairs", f"{_closure(_E12)} SELECT source AS start, target AS node FROM r WHERE target <> source")
+@query("closure_all_pairs", f"{_closure(_SPARSE)} SELECT source AS start, target AS node FROM r WHERE target <> source")
 def _(spark, d):
-    return closure.reachable(parts(spark, d, 12)[1])
+    return closure.reachable(parts(spark, d, "sparse")[1])
 
 
-@query("closure_rounds", f"{_closure(_E12)} SELECT source AS start, target AS node FROM r WHERE target <> source")
+@query("closure_rounds", f"{_closure(_SPARSE)} SELECT source AS start, target AS node FROM r WHERE target <> source")
 def _(spark, d):
-    return closure.reachable(parts(spark, d, 12)[1], kernel=-1)
+    return closure.reachable(parts(spark, d, "sparse")[1], kernel=-1)
 
 
 @query(
     "impact_depth3",
-    f"WITH RECURSIVE e AS ({_E40}), r AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 50 = 0 UNION SELECT e.source, depth + 1 FROM r JOIN e ON e.target = r.node WHERE depth < 3) "
+    f"WITH RECURSIVE e AS ({_DENSE}), r AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) UNION SELECT e.source, depth + 1 FROM r JOIN e ON e.target = r.node WHERE depth < 3) "
     "SELECT node, CAST(min(depth) AS INT) AS depth FROM r GROUP BY node HAVING min(depth) > 0",
 )
 def _(spark, d):
-    files, e = parts(spark, d, 40)
-    return closure.impact(e, files.where("id % 50 = 0"), fuse=None)[0]
+    files, e = parts(spark, d, "dense")
+    changed = L.view(spark, d, "SELECT p_partkey AS id FROM {part} WHERE p_brand = (SELECT min(p_brand) FROM {part})")
+    return closure.impact(e, changed, fuse=None)[0]
 
 
 @query(
     "connected_components",
-    f"WITH RECURSIVE e AS ({_E12}), u AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), "
+    f"WITH RECURSIVE e AS ({_SPARSE}), u AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), "
     "r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a",
 )
 def _(spark, d):
-    return closure.connected(parts(spark, d, 12)[1])
+    return closure.connected(parts(spark, d, "sparse")[1])
 
 
 # --- components and levels --------------------------------------------------
 
 _SCC = (
-    _closure(_E80)
+    _closure(_CYCLIC)
     + ", c AS (SELECT p.p_partkey AS node, least(p.p_partkey, coalesce(min(r.target) FILTER (WHERE b.source IS NOT NULL), p.p_partkey)) AS component "
     "FROM part p LEFT JOIN r ON r.source = p.p_partkey LEFT JOIN r b ON b.source = r.target AND b.target = r.source GROUP BY p.p_partkey) "
 )
 
 
-def _found(spark, d, band=80, dag=False, kernel=scc.KERNEL):
-    files, e = parts(spark, d, band, dag)
+def _found(spark, d, like="cyclic", dag=False, kernel=scc.KERNEL):
+    files, e = parts(spark, d, like, dag)
     return scc.components(files, e, kernel), e
 
 
@@ -230,9 +231,9 @@ def _(spark, d):
     return joined(scc.cycles(*_found(spark, d)).select(F.col("members").cast("array<string>").alias("members")))
 
 
-@query("self_imports", f"SELECT source AS node FROM ({_E80}) WHERE source = target")
+@query("self_imports", f"SELECT source AS node FROM ({_CYCLIC}) WHERE source = target")
 def _(spark, d):
-    return parts(spark, d, 80)[1].where("source = target").select(F.col("source").alias("node"))
+    return parts(spark, d, "cyclic")[1].where("source = target").select(F.col("source").alias("node"))
 
 
 _LEVEL = (
@@ -243,14 +244,14 @@ _LEVEL = (
 
 @query("layers", f"{_LEVEL} SELECT node, CAST(level AS INT) AS level FROM v")
 def _(spark, d):
-    return _found(spark, d, 40, True)[0].select("node", "level")
+    return _found(spark, d, "dense", True)[0].select("node", "level")
 
 
 @query("topo_order", f"{_LEVEL} SELECT node, CAST(row_number() OVER (ORDER BY level, node) AS INT) AS place FROM v")
 def _(spark, d):
     from pyspark.sql import Window as W
 
-    found, e = _found(spark, d, 40, True)
+    found, e = _found(spark, d, "dense", True)
     scc.topological_order(found, e)
     sizes = found.groupBy("level").agg(F.count("*").alias("n"))
     before = sizes.alias("a").join(sizes.alias("b"), F.expr("b.level < a.level"), "left").groupBy(F.col("a.level").alias("level")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
@@ -260,7 +261,7 @@ def _(spark, d):
 
 @query("parallel_groups", f"{_LEVEL} SELECT CAST(level + 1 AS INT) AS sprint, count(*) AS n_groups, count(*) AS n_files FROM v GROUP BY level")
 def _(spark, d):
-    return scc.parallel_groups(*_found(spark, d, 40, True)).select("sprint", "n_groups", "n_files")
+    return scc.parallel_groups(*_found(spark, d, "dense", True)).select("sprint", "n_groups", "n_files")
 
 
 @query("migration_sequence", f"{_SCC} SELECT component, count(*) AS n FROM c GROUP BY component")
@@ -320,10 +321,10 @@ def _(spark, d):
 
 @query(
     "unique_symbol_names",
-    f"SELECT name, min(id) AS id FROM ({L.SYMBOLS}) WHERE CAST(file_path AS BIGINT) < 3 GROUP BY name HAVING count(*) = 1",
+    f"SELECT name, min(id) AS id FROM ({L.NAMED}) GROUP BY name HAVING count(*) = 1",
 )
 def _(spark, d):
-    return resolve.unique_names(L.view(spark, d, L.SYMBOLS).where("cast(file_path as bigint) < 3"), ("function",))
+    return resolve.unique_names(L.view(spark, d, L.NAMED), ("function",))
 
 
 # --- snapshots -------------------------------------------------------------
@@ -478,12 +479,12 @@ def _(spark, d):
 
 @query(
     "recall_gate",
-    f"WITH o AS ({_E12}), a AS ({L.imports_sql(14)}), b AS ({L.imports_sql(13)}), c AS (SELECT * FROM a INTERSECT SELECT * FROM b), "
+    f"WITH o AS ({_SPARSE}), a AS ({L.imports_sql("one_tool")}), b AS ({L.imports_sql("other_tool")}), c AS (SELECT * FROM a INTERSECT SELECT * FROM b), "
     "s AS (SELECT (SELECT count(*) FROM c) AS common, (SELECT count(*) FROM (SELECT * FROM c INTERSECT SELECT * FROM o)) AS found, (SELECT count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM a EXCEPT SELECT * FROM b)) AS extra) "
     "SELECT common, found, common - found AS missing, extra, round(coalesce(found / nullif(common, 0), 0), 6) AS recall, common > 0 AND coalesce(found / nullif(common, 0), 0) >= 0.98 AS passed FROM s",
 )
 def _(spark, d):
-    own, a, b = (L.view(spark, d, L.imports_sql(k)) for k in (12, 14, 13))
+    own, a, b = (L.view(spark, d, L.imports_sql(like)) for like in ("sparse", "one_tool", "other_tool"))
     return rounded(compare.two_oracles(own, a, b))
 
 
@@ -522,7 +523,7 @@ _TERMINAL = quoted(TERMINAL)
 
 
 def _modules(spark, d):
-    return L.view(spark, d, L.ALL_MODULES)
+    return L.view(spark, d, L.MODULES)
 
 
 @query(
@@ -867,11 +868,11 @@ def _(spark, d):
 
 @query(
     "weighted_mq",
-    f"WITH e AS ({L.imports_sql(40, distinct=False)}), x AS (SELECT a.p_size % 4 AS a, b.p_size % 4 AS b FROM e JOIN part a ON source = a.p_partkey JOIN part b ON target = b.p_partkey), y AS (SELECT CASE WHEN a < 3 THEN a END AS a, CASE WHEN b < 3 THEN b END AS b FROM x), "
+    f"WITH e AS ({L.imports_sql("dense", distinct=False)}), x AS (SELECT a.p_size % 4 AS a, b.p_size % 4 AS b FROM e JOIN part a ON source = a.p_partkey JOIN part b ON target = b.p_partkey), y AS (SELECT CASE WHEN a < 3 THEN a END AS a, CASE WHEN b < 3 THEN b END AS b FROM x), "
     "s AS (SELECT CAST(count(*) FILTER (WHERE a = b) AS BIGINT) AS i, CAST(sum(CASE WHEN a = b THEN 1 ELSE (a IS NOT NULL)::INT + (b IS NOT NULL)::INT END) AS BIGINT) AS edges FROM y) SELECT round(i / edges, 6) AS mq, edges FROM s",
 )
 def _(spark, d):
-    e = L.view(spark, d, L.imports_sql(40, distinct=False)).withColumn("edge_type", F.lit("imports"))
+    e = L.view(spark, d, L.imports_sql("dense", distinct=False)).withColumn("edge_type", F.lit("imports"))
     assigned = L.read(spark, d, "part").where("p_size % 4 < 3").select(F.lit(0).alias("sample"), F.col("p_partkey").alias("file"), (F.col("p_size") % 4).cast("long").alias("batch"))
     return rounded(decompose.weighted_cohesion(decompose.numbered_imports(e), assigned).select("mq", "edges"))
 
@@ -882,7 +883,7 @@ def _(spark, d):
 def _decomposed(spark, d):
     from graphloom.session import cut
 
-    files, e = parts(spark, d, 12)
+    files, e = parts(spark, d, "sparse")
     name = lambda c: F.concat(F.lit("file:b"), (F.col(c) % 20).cast("string"), F.lit("/p"), F.col(c).cast("string"))
     nodes = cut(files.select(name("id").alias("id")))
     edges = cut(e.select(name("source").alias("source"), name("target").alias("target"), F.lit("imports").alias("edge_type")))
@@ -904,6 +905,6 @@ def _(spark, d):
 
 @query("louvain")
 def _(spark, d):
-    files, e = parts(spark, d, 12)
+    files, e = parts(spark, d, "sparse")
     text = e.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
     return community.communities(files.select(F.col("id").cast("string").alias("id")), text)

@@ -14,14 +14,25 @@ TABLES = (
 )
 
 
-def imports_sql(band: int, dag: bool = False, distinct: bool = True) -> str:
-    """Parts of consecutive lines of an order, as files that import each other, if their keys are close."""
+#: When parts of consecutive lines of an order import each other.  All grow with the lines: about
+#: half an import a part, one and a half (with cycles of many parts), and two and a half.
+LIKE = {
+    "sparse": "a.l_discount = b.l_discount AND a.l_returnflag = b.l_returnflag",
+    "cyclic": "a.l_discount = b.l_discount",
+    "dense": "a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus",
+    # what two other tools take for imports
+    "one_tool": "a.l_discount = b.l_discount AND (a.l_returnflag = b.l_returnflag OR a.l_tax = b.l_tax)",
+    "other_tool": "a.l_discount = b.l_discount AND (a.l_returnflag = b.l_returnflag OR a.l_linestatus = b.l_linestatus)",
+}
+
+
+def imports_sql(like: str, dag: bool = False, distinct: bool = True) -> str:
+    """Parts of consecutive lines of an order, as files that import each other, if the lines are alike."""
     s, t = ("greatest(a.l_partkey, b.l_partkey)", "least(a.l_partkey, b.l_partkey)") if dag else ("a.l_partkey", "b.l_partkey")
-    loop = " AND a.l_partkey <> b.l_partkey" if dag else ""
+    loop = " WHERE a.l_partkey <> b.l_partkey" if dag else ""
     return (
         f"SELECT {'DISTINCT ' if distinct else ''}{s} AS source, {t} AS target FROM {{lineitem}} a JOIN {{lineitem}} b "
-        f"ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 "
-        f"WHERE abs(a.l_partkey - b.l_partkey) < {band}{loop}"
+        f"ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND {LIKE[like]}{loop}"
     )
 
 
@@ -40,7 +51,7 @@ EDGES = (
     "UNION ALL SELECT concat('module:', n_name), concat('class:', CAST(c_custkey AS STRING)), 'contains' "
     "FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey "
     "UNION ALL SELECT concat('file:', CAST(source AS STRING)), concat('file:', CAST(target AS STRING)), 'imports' "
-    f"FROM ({imports_sql(40, distinct=False)}) i"
+    f"FROM ({imports_sql('dense', distinct=False)}) i"
 )
 
 SYMBOLS = (
@@ -50,11 +61,16 @@ SYMBOLS = (
     "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE concat('fn f', CAST(l_linenumber AS STRING), '(part: ', CAST(l_partkey AS STRING), ') é') END AS signature "
     "FROM {lineitem} GROUP BY l_partkey, l_linenumber"
 )
+#: Functions named by customers, one an order: a customer with a single order names it alone.
+NAMED = (
+    "SELECT concat('function:', CAST(o_orderkey AS STRING), ':f', CAST(o_custkey AS STRING)) AS id, 'function' AS node_type, "
+    "concat('f', CAST(o_custkey AS STRING)) AS name FROM {orders}"
+)
 USAGE = (
     "SELECT concat('file:', CAST(a.l_partkey AS STRING)) AS source, concat('file:', CAST(b.l_partkey AS STRING)) AS target, "
     "CASE WHEN b.l_linestatus = 'O' AND b.l_quantity > 45 THEN NULL ELSE concat('f', CAST(b.l_linenumber AS STRING)) END AS symbol "
     "FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 "
-    "WHERE abs(a.l_partkey - b.l_partkey) < 40"
+    f"AND {LIKE['dense']}"
 )
 
 _DOC = "concat('doc', CAST(doc_id AS STRING))"
@@ -95,11 +111,8 @@ MODULES = (
     "CASE WHEN k % 3 = 0 THEN 'batch' END AS composite_kind, "
     "CASE WHEN k % 4 = 0 THEN {array}('concurrency') ELSE {empty} END AS danger, "
     "CASE k % 5 WHEN 0 THEN 'unclassified' WHEN 1 THEN 'partially_classified' ELSE 'classified' END AS danger_provenance "
-    "FROM (SELECT CAST(s_suppkey AS INT) AS k FROM {supplier} WHERE s_suppkey < 1000) s"
+    "FROM (SELECT CAST(s_suppkey AS INT) AS k FROM {supplier}) s"
 )
-#: The same over the whole supplier table, for the queries; MODULES is the text of the SQL they are held against.
-ALL_MODULES = MODULES.replace(" WHERE s_suppkey < 1000", "")
-
 HISTORY = (
     "SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'init' WHEN 'view' THEN 'profile' WHEN 'click' THEN 'plan' "
     "WHEN 'purchase' THEN 'scaffold' ELSE 'sprint_loop' END AS state FROM {events}"
