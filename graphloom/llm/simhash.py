@@ -218,24 +218,25 @@ def _band_keys(low: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, tk (key of the text), cls (digest of the set), n, fp, keys, shingles: one row per row of docs.
+def shingle_set(h: np.ndarray) -> np.ndarray:
+    """Hashes, in order, of the distinct runs of FIVE words; a shorter text is one run, one without words has none."""
+    return np.unique(grams(h, min(FIVE, len(h))) if len(h) else h)
 
-    shingles are the hashes of the distinct runs of FIVE words, in order; a
-    shorter text is one run, and one without words has none.
-    """
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, tk (key of the text), cls (digest of the set), n, fp, keys: one row per row of docs."""
     kinds = [
         ("doc_id", pa.int64()), ("tk", pa.int64()), ("cls", pa.binary()), ("n", pa.int32()), ("fp", pa.int64()),
-        ("keys", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64())),
+        ("keys", pa.list_(pa.int64())),
     ]
 
-    def row(h: np.ndarray) -> tuple[bytes, int, int, np.ndarray, np.ndarray]:
-        h = np.unique(grams(h, min(FIVE, len(h))) if len(h) else h)
+    def row(h: np.ndarray) -> tuple[bytes, int, int, np.ndarray]:
+        h = shingle_set(h)
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), _ROWS):
             ones += np.unpackbits(h[at : at + _ROWS].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         fp = int.from_bytes(np.packbits(ones * 2 > max(1, len(h))).tobytes(), "big", signed=True)
-        return xxhash.xxh128_digest(h.tobytes()), len(h), fp, signed(_band_keys(_minima(h))), signed(h)
+        return xxhash.xxh128_digest(h.tobytes()), len(h), fp, signed(_band_keys(_minima(h)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,30 +253,45 @@ def sketches(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     text = F.col("text").cast("string")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    return spread(given).mapInArrow(run, "doc_id long, tk long, cls binary, n int, fp long, keys array<long>, shingles array<long>")
+    return spread(given).mapInArrow(run, "doc_id long, tk long, cls binary, n int, fp long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, shingles of the wanted rows (cls, doc_id, tk): the low halves of the hashes, distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = texts(batch.column(1))
+            for a, b in t.chunks():
+                w = words(t, a, b, NOT_SPACE)
+                found = [np.unique(shingle_set(w.hash[i:j]).astype(np.uint32)).view(np.int32) for i, j in zip(w.first, w.first[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.list_(pa.int32()))], ["cls", "shingles"])
+
+    own = side(wanted.select("cls", F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_key() == F.col("__tk"))
+    given = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(own, same).select("cls", "text")
+    return given.mapInArrow(run, "cls binary, shingles array<int>").groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose sets have at least this Jaccard similarity, counted exactly."""
-    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    held = cut(sets.join(need, "cls", "left_semi").groupBy("cls").agg(F.any_value("shingles").alias("shingles")))
+    """The pairs a, b whose sets have at least this Jaccard similarity, counted over all shingles."""
     both = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(held.toDF("a", "x"), "a")
-        .join(held.toDF("b", "y"), "b")
+        pairs.join(sets.toDF("a", "x"), "a")
+        .join(sets.toDF("b", "y"), "b")
         .select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("all"))
         .where(F.col("both") >= similarity * F.col("all"))
         .select("a", "b")
     )
 
 
-def similar(classes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node, root: the components of verified links between classes that two searches propose.
 
     SimHash blocks propose fingerprints within two bits.  Bands of least hashes
     propose what lies between there and ``similarity``: all of a bucket is held
-    against its first by a hash of class and band, so that each band has other
-    firsts.  Where that leaves a bucket with more than one component, members
+    against its first by a hash of the class, so that a group has few firsts
+    over all its bands.  Where that leaves a bucket with more than one component, members
     outside its largest one are held against all others, at first two of a
     bucket, then four, eight and so on, until every pair of two components has
     been compared.  So no bucket is capped, rounds grow with the logarithm of
@@ -288,13 +304,15 @@ def similar(classes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
         near.join(hubs.toDF("a", "x"), "a").join(hubs.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     )
     keyed = classes.where("n > 0").select("cls", "n", F.posexplode("keys").alias("band", "key"))
-    order = F.struct(F.xxhash64("cls", "band").alias("o"), "cls", "n")
+    order = F.struct(F.xxhash64("cls").alias("o"), "cls", "n")
     first = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(order).alias("h")).where("size > 1")
     members = cut(keyed.join(first, ["band", "key"]).select("band", "key", "cls", "n", "h", (F.col("cls") == F.col("h.cls")).alias("met")))
     close = F.least("n", "h.n") >= similarity * F.greatest("n", "h.n")
     ends = F.greatest("cls", "h.cls").alias("a"), F.least("cls", "h.cls").alias("b")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     tried = cut(pairs.unionByName(members.where(close).select(*ends)).where("a <> b").distinct())
+    suspects = members.select("cls").unionByName(tried.selectExpr("a as cls")).unionByName(tried.selectExpr("b as cls")).distinct()
+    sets = table(shingle_sets(docs, classes.join(suspects, "cls").select("cls", "low.doc_id", "low.tk")))
     found, members, k = cut(verified(tried, sets, similarity)), members.drop("h"), 1
     while True:
         roots = components(found)
@@ -303,7 +321,7 @@ def similar(classes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
         main = counted.groupBy("band", "key").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("main"))
         own = cut(own.join(main.where("roots > 1").select("band", "key", "main"), ["band", "key"]))
         k *= 2
-        rank = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.xxhash64("cls", "band"), "cls"))
+        rank = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.xxhash64("cls"), "cls"))
         new = own.where("not met and root <> main.root").withColumn("r", rank).where(F.col("r") <= k)
         new = cut(new.select("band", "key", F.struct("cls", "n", "root").alias("h")))
         if new.isEmpty():
@@ -330,7 +348,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             F.min(low).alias("low"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")
         )
     )
-    roots = similar(classes.select("cls", "n", "fp", "keys"), rows.select("cls", "shingles"), similarity)
+    roots = similar(classes, docs, similarity)
     rooted = classes.join(roots, classes.cls == roots.node, "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     rooted = cut(rooted)
     kept = rooted.groupBy("root").agg(F.min("low").alias("keep"))
