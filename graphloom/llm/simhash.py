@@ -29,7 +29,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.llm.common import NOT_SPACE, cut, grams, id_text, mix, side, signed, spread, table, text_key, texts, words
 from graphloom.session import ship
@@ -285,17 +284,46 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def rare_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs of ``left`` (cls, root) of two roots that may be alike, by the shingles that are rarest among them.
+
+    Two sets of at least this similarity share a shingle among the rarest of
+    each, and behind their first common one enough must be left to reach the
+    overlap.  So the test loses no pair, and texts that are alike only in what
+    many share do not meet.  In each bucket of a shingle the members of the root that
+    most of them have are not held against each other.
+    """
+    own = left.join(sets, "cls").select("cls", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    own = cut(own)
+    common = own.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = (
+        own.join(common, "t", "left")
+        .groupBy("cls", "root", "n")
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "t"))).alias("order"))
+    )
+    # the least overlap of a set of n with any other is similarity * n
+    opening = F.slice("order", F.lit(1), F.col("n") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1)
+    entries = ranked.select("cls", "root", "n", F.posexplode(opening).alias("at", "x")).where("x.c > 1")
+    entries = cut(entries.select("cls", "root", "n", "at", F.col("x.t").alias("t")))
+    counted = entries.groupBy("t", "root").agg(F.count("*").alias("c"))
+    main = counted.groupBy("t").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("main"))
+    x = entries.join(main.where("roots > 1").select("t", F.col("main.root").alias("main")), "t").where("root <> main").alias("x")
+    enough = F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at")) >= (similarity / (1 + similarity)) * F.expr("x.n + y.n") - 1e-6
+    met = F.expr("x.t = y.t and x.root <> y.root") & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6) & enough
+    ends = F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")
+    return x.join(entries.alias("y"), met).select(*ends).distinct()
+
+
 def similar(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node, root: the components of verified links between classes that two searches propose.
 
     SimHash blocks propose fingerprints within two bits.  Bands of least hashes
     propose what lies between there and ``similarity``: all of a bucket is held
-    against its first by a hash of the class, so that a group has few firsts
-    over all its bands.  Where that leaves a bucket with more than one component, members
-    outside its largest one are held against all others, at first two of a
-    bucket, then four, eight and so on, until every pair of two components has
-    been compared.  So no bucket is capped, rounds grow with the logarithm of
-    what is left over, and a group of any size costs one comparison a member.
+    against the member that has most company over all bands, so that a group has
+    few of these.  The members of buckets that this leaves with more than one component
+    are then searched by :func:`rare_pairs`, which misses none of their links.  So no
+    bucket is capped, and a group of any size costs one comparison a member
+    and the few that their rarest shingles leave possible.
     """
     hubs = classes.groupBy("fp").agg(F.min("cls").alias("hub"))
     near = links(classes.select("fp").distinct())
@@ -303,37 +331,27 @@ def similar(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     pairs = pairs.unionByName(
         near.join(hubs.toDF("a", "x"), "a").join(hubs.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     )
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     keyed = classes.where("n > 0").select("cls", "n", F.posexplode("keys").alias("band", "key"))
-    order = F.struct(F.xxhash64("cls").alias("o"), "cls", "n")
-    first = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(order).alias("h")).where("size > 1")
-    members = cut(keyed.join(first, ["band", "key"]).select("band", "key", "cls", "n", "h", (F.col("cls") == F.col("h.cls")).alias("met")))
+    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(keyed.join(shared, ["band", "key"]))
+    company = members.groupBy("cls").agg((-F.sum("size")).alias("w"))
+    order = F.struct("w", F.xxhash64("cls").alias("o"), "cls", "n")
+    first = members.join(company, "cls").groupBy("band", "key").agg(F.min(order).alias("h"))
     close = F.least("n", "h.n") >= similarity * F.greatest("n", "h.n")
-    ends = F.greatest("cls", "h.cls").alias("a"), F.least("cls", "h.cls").alias("b")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    tried = cut(pairs.unionByName(members.where(close).select(*ends)).where("a <> b").distinct())
+    held = members.join(first, ["band", "key"]).where(close)
+    held = held.select(F.greatest("cls", "h.cls").alias("a"), F.least("cls", "h.cls").alias("b"))
+    tried = cut(pairs.unionByName(held).where("a <> b").distinct())
     suspects = members.select("cls").unionByName(tried.selectExpr("a as cls")).unionByName(tried.selectExpr("b as cls")).distinct()
     sets = table(shingle_sets(docs, classes.join(suspects, "cls").select("cls", "low.doc_id", "low.tk")))
-    found, members, k = cut(verified(tried, sets, similarity)), members.drop("h"), 1
-    while True:
-        roots = components(found)
-        own = members.join(roots, members.cls == roots.node, "left").select(*members.columns, F.coalesce("root", "cls").alias("root"))
-        counted = own.groupBy("band", "key", "root").agg(F.count("*").alias("c"))
-        main = counted.groupBy("band", "key").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("main"))
-        own = cut(own.join(main.where("roots > 1").select("band", "key", "main"), ["band", "key"]))
-        k *= 2
-        rank = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.xxhash64("cls"), "cls"))
-        new = own.where("not met and root <> main.root").withColumn("r", rank).where(F.col("r") <= k)
-        new = cut(new.select("band", "key", F.struct("cls", "n", "root").alias("h")))
-        if new.isEmpty():
-            return roots
-        more = own.join(side(new), ["band", "key"]).where(F.col("root") != F.col("h.root")).where(close).select(*ends).distinct()
-        more = cut(more.join(tried, ["a", "b"], "left_anti"))
-        found = cut(found.unionByName(verified(more, sets, similarity)))
-        tried = tried.unionByName(more)
-        again = new.select("band", "key", F.col("h.cls").alias("cls"), F.lit(True).alias("now"))
-        members = own.join(again, ["band", "key", "cls"], "left").select(
-            "band", "key", "cls", "n", (F.col("met") | F.coalesce("now", F.lit(False))).alias("met")
-        )
+    found = cut(verified(tried, sets, similarity))
+    roots = components(found)
+    own = members.join(roots, members.cls == roots.node, "left").select("band", "key", "cls", F.coalesce("root", "cls").alias("root"))
+    own = cut(own)
+    mixed = own.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = cut(own.join(mixed, ["band", "key"], "left_semi").select("cls", "root").distinct())
+    more = rare_pairs(left, sets, similarity).join(tried, ["a", "b"], "left_anti")
+    return components(found.unionByName(verified(cut(more), sets, similarity)))
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

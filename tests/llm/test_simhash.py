@@ -178,7 +178,7 @@ def test_stage_on_documents(spark):
 
 
 def test_bucket_of_unlike_texts_is_searched_to_the_end(spark, monkeypatch):
-    # one band that puts everything into one bucket: only the rounds can find the links
+    # one band that puts everything into one bucket: only the rarest shingles can find the links
     monkeypatch.setattr(simhash, "_band_keys", lambda low: np.zeros(1, np.uint64))
     rng = random.Random(2)
     base = [" ".join(f"v{rng.randrange(900)}" for _ in range(60)) for _ in range(9)]
