@@ -4,7 +4,8 @@ Overlapping heuristic labellers vote good, bad or abstain on every whole text.
 Their vote patterns, counted over all documents (at most 3**labellers rows),
 give each labeller's accuracy and each pattern's posterior.  The posteriors
 label a bounded sample, on which a logistic scorer over hashed features (words,
-their openings, word shapes and how large a share they have, repetition) is
+their openings, openings that come again, word shapes and their shares,
+repetition) is
 trained; the scorer then judges all documents.  Toxicity is a second head of
 the same make, whose labellers are a word list and the table of labels where it
 has the document; the list alone tells what is clean if no label does, and
@@ -151,6 +152,9 @@ class Chunk:
         """Rows and features (below DIMENSIONS); a feature may be there more than once in a row."""
         w, rows = self.w, self.rows
         whole, opening = self._openings(None), self._openings(5)
+        # openings that come again: one such word may be chance
+        _, first, counts = np.unique(opening ^ mix(rows.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
+        again = first[counts > 1]
         # word shapes: runs of a kind count once
         kinds = _SHAPE[w.bytes]
         new = np.ones(len(kinds), bool)
@@ -168,8 +172,9 @@ class Chunk:
             (every, mix(np.full(len(every), 7919 + k, np.uint64)) + np.floor(np.sqrt(self.rates[name]) * 8).astype(np.uint64))
             for k, name in enumerate(LABELLERS)
         ]
-        all_rows = [rows, rows, shape_rows, *(r for r, _ in rates)]
-        hashes = [mix(whole + np.uint64(1)), mix(opening + np.uint64(2)), mix(shape), *(mix(h) for _, h in rates)]
+        all_rows = [rows, rows, rows[again], shape_rows, *(r for r, _ in rates)]
+        hashes = [mix(whole + np.uint64(1)), mix(opening + np.uint64(2)), mix(opening[again] + np.uint64(3)), mix(shape)]
+        hashes += [mix(h) for _, h in rates]
         return np.concatenate(all_rows), (np.concatenate(hashes) % np.uint64(DIMENSIONS)).astype(np.int64)
 
 
