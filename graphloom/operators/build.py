@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.lang import base
@@ -18,6 +18,10 @@ class Build:
     graph: Graph
     fingerprints: DataFrame
     warnings: DataFrame
+    analyses: DataFrame | None = None
+
+    def store(self) -> cdc.Store:
+        return cdc.Store(self.graph, self.fingerprints, analyses=self.analyses)
 
 
 def _rows(analyses: DataFrame, column: str) -> DataFrame:
@@ -34,13 +38,20 @@ def _resolved(imports: DataFrame, files: DataFrame, language: str, module: str)
     return resolve.resolve_go(s, paths, module)
 
 
-def build(files: DataFrame, module: str = "") -> Build:
+def _content_hash() -> Column:
+    return F.sha2(F.col("content").cast("binary"), 256)
+
+
+def build(files: DataFrame, module: str = "", known: DataFrame | None = None) -> Build:
     """Graph and fingerprints of files (path, language, content); module is the Go module's path.
 
-    Analyses of all files are kept together, so a barrel is passed through
-    whether or not it changed.
+    Files that ``known`` has an analysis of are not parsed.  Analyses of all files are
+    kept together, so a barrel is passed through whether or not it changed.
     """
-    analyses = cut(base.analyze(files))
+    if known is None:
+        analyses = cut(base.analyze(files))
+    else:
+        analyses = cut(known.unionByName(base.analyze(files.join(known.select("path"), "path", "left_anti"))))
     languages = sorted(r["language"] for r in files.select("language").distinct().collect())
     nodes = analyses.select(F.explode("nodes").alias("n")).select("n.*")
     local = analyses.select(F.explode("edges").alias("e")).select("e.*")
@@ -82,10 +93,10 @@ def build(files: DataFrame, module: str = "") -> Build:
         analyses.select(F.col("path").alias("file_path"), F.explode("exports").alias("name")),
         calls.withColumnRenamed("file", "file_path"),
     )
-    content = files.select(F.col("path").alias("file_path"), F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+    content = files.select(F.col("path").alias("file_path"), _content_hash().alias("content_hash"))
     prints = content.join(structure, "file_path", "left").withColumn("structure_hash", F.coalesce("structure_hash", "content_hash"))
     warnings = analyses.where("warning is not null").select(F.col("path").alias("subject"), "warning")
-    return Build(Graph(nodes, edges).with_integrity(), prints, warnings)
+    return Build(Graph(nodes, edges).with_integrity(), prints, warnings, analyses)
 
 
 def classify(analyses: DataFrame) -> DataFrame:
@@ -93,17 +104,27 @@ def classify(analyses: DataFrame) -> DataFrame:
     return analyses.select(F.concat(F.lit("file:"), "path").alias("file"), "tier", F.col("file_kind").alias("kind"), "danger", "classified")
 
 
+def unchanged(old: cdc.Store, files: DataFrame) -> DataFrame | None:
+    """The stored analyses of files whose path, language and content are as they were; None if the store has none."""
+    if old.analyses is None:
+        return None
+    now = files.select("path", "language", _content_hash().alias("content_hash"))
+    same = now.join(old.fingerprints.withColumnRenamed("file_path", "path"), ["path", "content_hash"], "left_semi")
+    return old.analyses.join(same.select("path", "language"), ["path", "language"], "left_semi").select(*old.analyses.columns)
+
+
 def incremental(old: cdc.Store, files: DataFrame, module: str = "", depth: int = 3, fuse: int = 50) -> tuple[cdc.Store, DataFrame, bool]:
     """The store after a change of files, what changed, and whether the fuse blew.
 
-    Files whose hashes are the same keep their rows; edges are resolved against
-    all files, so the result is that of a full build.
+    Files whose content hash is the same keep their stored analysis, so only what is new or
+    differs is parsed; without stored analyses all are.  Edges are resolved
+    against all files, so the result is that of a full build.
     """
-    fresh = build(files, module)
+    fresh = build(files, module, unchanged(old, files))
     changed = cut(cdc.changes(old.fingerprints, fresh.fingerprints))
     imports = old.graph.raw_edges.where("edge_type = 'imports'").select("source", "target")
     _, blown = cdc.affected(changed, imports, depth, fuse)
     gone = changed.where("change = 'deleted'").select("file_path")
 
     store = old.without(gone).splice(fresh.graph, fresh.fingerprints, changed.where("change <> 'deleted'").select("file_path"), blown)
-    return store, changed, blown
+    return replace(store, analyses=fresh.analyses), changed, blown

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,16 +63,22 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Store:
-    """The persisted tables; imports and exports of all files stay, so that a part can be resolved anew."""
+    """The persisted tables; analyses (`lang.base.ANALYSIS`) of all files stay, so that a change parses only what is new in content."""
 
     graph: Graph
     fingerprints: DataFrame
     integrity: str = "full"
+    analyses: DataFrame | None = None
 
     def without(self, paths: DataFrame) -> Store:
         """Files that are gone: their fingerprints, nodes and edges go."""
         gone = paths.toDF("file_path").distinct()
-        return Store(self.graph.without_files(gone), self.fingerprints.join(gone, "file_path", "left_anti"), self.integrity)
+        return replace(
+            self,
+            graph=self.graph.without_files(gone),
+            fingerprints=self.fingerprints.join(gone, "file_path", "left_anti"),
+            analyses=self._analyses_without(gone),
+        )
 
     def splice(self, fresh: Graph, fingerprints: DataFrame, changed: DataFrame, truncated: bool = False) -> Store:
         """The changed files' nodes and edges replaced; a row that is there already is kept."""
@@ -80,7 +86,14 @@ class Store:
         nodes = base.nodes.unionByName(fresh.nodes, allowMissingColumns=True).dropDuplicates(["id"])
         edges = base.raw_edges.unionByName(fresh.raw_edges, allowMissingColumns=True).dropDuplicates(EDGE_KEY)
         graph = Graph(nodes, edges, [*self.graph.warnings, *fresh.warnings]).with_integrity()
-        return Store(graph, upsert(self.fingerprints, fingerprints, ["file_path"]), "partial" if truncated else self.integrity)
+        prints = upsert(self.fingerprints, fingerprints, ["file_path"])
+        # an analysis that is missing is made again, one that is out of date would be believed
+        return Store(graph, prints, "partial" if truncated else self.integrity, self._analyses_without(changed))
+
+    def _analyses_without(self, paths: DataFrame) -> DataFrame | None:
+        if self.analyses is None:
+            return None
+        return self.analyses.join(paths.toDF("path").distinct(), "path", "left_anti")
 
 
 def affected(changed: DataFrame, imports: DataFrame, depth: int = 3, fuse: int = 50) -> tuple[DataFrame, bool]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.cdc import Store
@@ -67,6 +68,17 @@ def _pointer(root: str) -> str:
     return f"{root.rstrip('/')}/_current"
 
 
+def _current(spark: SparkSession, root: str) -> Row | None:
+    """n, version of the last pointer.  Pointers are only ever added, so one that breaks off leaves the one before it."""
+    try:
+        pointers = spark.read.schema("n long, version string").json(_pointer(root))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return pointers.orderBy(F.desc_nulls_last("n"), F.desc("version")).first()
+
+
 def save(spark: SparkSession, root: str, store: Store) -> str:
     """Write a new version, edges apart by type, and then make it the current one."""
     version = uuid.uuid4().hex
@@ -75,19 +87,29 @@ def save(spark: SparkSession, root: str, store: Store) -> str:
     graph.nodes.write.parquet(f"{base}/nodes")
     graph.raw_edges.dropDuplicates(EDGE_KEY).write.partitionBy("edge_type").parquet(f"{base}/edges")
     store.fingerprints.write.parquet(f"{base}/fingerprints")
-    meta = spark.createDataFrame([("graph_integrity", store.integrity)], "key string, value string")
+    if store.analyses is not None:
+        store.analyses.write.parquet(f"{base}/analyses")
+    said = [("graph_integrity", store.integrity), ("analyses", str(store.analyses is not None).lower())]
+    meta = spark.createDataFrame(said, "key string, value string")
     meta.coalesce(1).write.parquet(f"{base}/metadata")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(_pointer(root))
+    last = _current(spark, root)
+    n = (last["n"] or 0) + 1 if last else 1
+    spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").json(_pointer(root))
     return version
 
 
 def load(spark: SparkSession, root: str) -> Store:
     """The current version; unknown kinds of nodes and edges are an error."""
-    version = spark.read.schema("version string").json(_pointer(root)).first()["version"]
-    base = f"{root.rstrip('/')}/{version}"
+    current = _current(spark, root)
+    if current is None:
+        raise FileNotFoundError(f"no version in {root}")
+    base = f"{root.rstrip('/')}/{current['version']}"
     nodes = strict(spark.read.parquet(f"{base}/nodes"), "node_type", "node_type")
     edges = strict(spark.read.parquet(f"{base}/edges"), "edge_type", "edge_type")
-    return Store(Graph(nodes, edges), spark.read.parquet(f"{base}/fingerprints"), integrity(spark.read.parquet(f"{base}/metadata")))
+    metadata = spark.read.parquet(f"{base}/metadata")
+    kept = not metadata.where("key = 'analyses' and value = 'true'").isEmpty()
+    analyses = spark.read.parquet(f"{base}/analyses") if kept else None
+    return Store(Graph(nodes, edges), spark.read.parquet(f"{base}/fingerprints"), integrity(metadata), analyses)
 
 
 def integrity(metadata: DataFrame) -> str:

@@ -1,8 +1,8 @@
 """Fingerprints as a stream: each micro-batch of file contents updates the stored fingerprints.
 
 State lives in versioned Parquet folders.  A batch is written under its own
-number and becomes current by an overwritten pointer, so a batch that is played
-again after a failure writes the same folder and changes nothing else.
+number and becomes current by a pointer that is added to those before it, so a batch
+that is played again after a failure writes the same folder and changes nothing else.
 """
 
 from __future__ import annotations
@@ -34,12 +34,12 @@ class FingerprintStore:
     def batch(self) -> int:
         """The batch that is current; -1 before the first."""
         try:
-            row = self.spark.read.schema("batch long").json(f"{self.root}/_current").first()
+            row = self.spark.read.schema("batch long").json(f"{self.root}/_current").agg(F.max("batch").alias("batch")).first()
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return -1
-        return row["batch"] if row else -1
+        return -1 if row["batch"] is None else row["batch"]
 
     def current(self, batch: int | None = None) -> DataFrame:
         batch = self.batch() if batch is None else batch
@@ -59,7 +59,7 @@ class FingerprintStore:
         touched = old.join(fresh.select("file_path"), "file_path", "left_semi")
         cdc.changes(touched, fresh).write.mode("overwrite").parquet(f"{self.root}/changes/{batch}")
         cdc.upsert(old, fresh, ["file_path"]).write.mode("overwrite").parquet(f"{self.root}/fingerprints/{batch}")
-        self.spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("overwrite").json(f"{self.root}/_current")
+        self.spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").json(f"{self.root}/_current")
 
 
 def follow(files: DataFrame, store: FingerprintStore, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

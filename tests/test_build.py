@@ -1,7 +1,8 @@
 import pytest
 
 from graphloom.lang.base import adapter
-from graphloom.operators import build, cdc, scc
+from graphloom.operators import build, scc
+from graphloom.sources import tables
 
 TS = {
     "src/types.ts": "export interface User { id: string }\nexport interface Saves { save(): string }\nexport enum Role { Admin = 'a', Guest = 'g' }\n",
@@ -107,7 +108,7 @@ def test_go(spark):
 
 def test_incremental_equals_full(spark):
     first = build.build(files(spark, PY, "python"))
-    store = cdc.Store(first.graph, first.fingerprints)
+    store = first.store()
     edited = {k: v for k, v in PY.items() if k != "src/index.py"}
     edited["src/utils.py"] = PY["src/utils.py"].replace("clamp", "bound")
     edited["src/service.py"] = PY["src/service.py"] + "\n# a remark\n"
@@ -119,6 +120,31 @@ def test_incremental_equals_full(spark):
     full = rows(build.build(files(spark, edited, "python")))
     got = rows(build.Build(after.graph, after.fingerprints, None))
     assert set(got[0]) == set(full[0]) and got[1] == full[1] and not blown
+    again, changed, _ = build.incremental(after, files(spark, edited, "python"))
+    assert {r.change for r in changed.collect()} == {"none"}
+    assert sorted(r.path for r in again.analyses.collect()) == sorted(edited)
+
+
+def test_incremental_parses_only_new_content(spark, monkeypatch, tmp_path):
+    parsed = []
+    analyze = build.base.analyze
+
+    def counted(frame):
+        parsed.append(sorted(r.path for r in frame.select("path").collect()))
+        return analyze(frame)
+
+    monkeypatch.setattr(build.base, "analyze", counted)
+    first = build.build(files(spark, PY, "python"))
+    tables.save(spark, str(tmp_path / "graph"), first.store())
+    store = tables.load(spark, str(tmp_path / "graph"))
+    edited = PY | {"src/utils.py": PY["src/utils.py"].replace("clamp", "bound"), "src/new.py": "from .utils import fetch\n"}
+    after, _, _ = build.incremental(store, files(spark, edited, "python"))
+    assert parsed == [sorted(PY), ["src/new.py", "src/utils.py"]]
+    got, full = rows(build.Build(after.graph, after.fingerprints, None)), rows(build.build(files(spark, edited, "python")))
+    assert set(got[0]) == set(full[0]) and got[1] == full[1]
+    # what a splice replaced is parsed again
+    torn = store.splice(after.graph, after.fingerprints, spark.createDataFrame([("src/utils.py",)], "file_path string"))
+    assert sorted(r.path for r in build.unchanged(torn, files(spark, edited, "python")).collect()) == ["src/index.py", "src/service.py"]
 
 
 def test_broken_file_keeps_its_node(spark):
