@@ -36,7 +36,7 @@ def populate(graph: Graph, files: DataFrame, modules: DataFrame | None = None, b
         units = groups.select("members", F.when(F.col("is_cycle") & (size > 1), "cycle").alias("composite_kind"), "sprint")
     else:
         sizes = files.select(F.col("file").alias("id"), F.col("size").alias("self_size"), "footprint")
-        plan = decompose.plan_frame(nodes.sparkSession, decompose.plan(groups, graph.raw_edges, sizes, budget))
+        plan = cut(decompose.plan_rows(groups, graph.raw_edges, sizes, budget))
         units = plan.select("members", F.when(F.col("kind").isin("cycle", "batch"), F.col("kind")).alias("composite_kind"), "sprint")
     units = units.withColumn("module", F.col("members")[0])
     rolled = quality.roll_up(files, units.select("module", F.explode("members").alias("file")))

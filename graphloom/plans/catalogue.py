@@ -889,18 +889,18 @@ def _decomposed(spark, d):
     edges = cut(e.select(name("source").alias("source"), name("target").alias("target"), F.lit("imports").alias("edge_type")))
     found = cut(scc.components(nodes, edges))
     sizes = files.select(name("id").alias("id"), (F.col("id") % 3000).alias("self_size"), (F.col("id") % 500).alias("footprint"))
-    return decompose.plan(scc.groups(found, edges), edges, sizes), edges, nodes.count()
+    return cut(decompose.plan_rows(scc.groups(found, edges), edges, sizes)), edges
 
 
 @query("decompose_plan")
 def _(spark, d):
-    return decompose.plan_frame(spark, _decomposed(spark, d)[0])
+    return _decomposed(spark, d)[0]
 
 
 @query("cohesion")
 def _(spark, d):
-    units, edges, _ = _decomposed(spark, d)
-    return spark.createDataFrame([decompose.cohesion(units, edges, samples=20)])
+    plan, edges = _decomposed(spark, d)
+    return spark.createDataFrame([decompose.cohesion([decompose.Unit(*r[1:]) for r in plan.orderBy("unit").collect()], edges, samples=20)])
 
 
 @query("louvain")

@@ -91,6 +91,33 @@ def test_merging_equals_a_full_search_each_time():
             assert got == plain_plan(groups, follows, weight, budget), seed
 
 
+def test_plan_of_many_groups(spark):
+    """More groups than a search over all pairs of a folder can take: uncoupled files go together in the order of their names."""
+    files = spark.range(20_100).selectExpr("concat('file:d', id % 3, '/p', id) AS id")
+    groups = files.select(F.array("id").alias("members"), F.lit(1).alias("sprint"), F.lit(False).alias("is_cycle"))
+    none = spark.createDataFrame([], "source string, target string, edge_type string")
+    units = decompose.plan(groups, none, files.select("id", F.lit(5).alias("self_size"), F.lit(1).alias("footprint")), 64)
+    want = []
+    for d in range(3):
+        own = sorted(f"file:d{d}/p{i}" for i in range(d, 20_100, 3))
+        want += [own[i : i + 12] for i in range(0, len(own), 12)]
+    assert [u.members for u in units] == want
+
+
+def test_merging_of_names_that_sort_before_a_line_break():
+    for seed in range(40):
+        groups, follows, weight = random_case(seed)
+        for i, g in enumerate(groups):
+            g["members"] = [m.replace("/f", "/f\t" if i % 3 else "/f\x01") for m in g["members"]]
+        got = sorted(tuple(u.members) for u in decompose._Merger(groups, follows, weight, 14).run())
+        assert got == plain_plan(groups, follows, weight, 14), seed
+
+
+def test_merging_where_labels_run_out(monkeypatch):
+    monkeypatch.setattr(decompose, "GAP", 2)
+    test_merging_equals_a_full_search_each_time()
+
+
 def fixture(spark):
     names = [f"file:d{i % 3}/f{i}" for i in range(12)]
     rng = random.Random(4)
