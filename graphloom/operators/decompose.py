@@ -451,39 +451,112 @@ def numbered_imports(edges: DataFrame) -> DataFrame:
     )
 
 
+MASK = (1 << 64) - 1
+
+
+def _xorshift(x: int) -> int:
+    x ^= x << 13 & MASK
+    x ^= x >> 7
+    return x ^ (x << 17 & MASK)
+
+
+def _ahead(x: int, steps: int) -> int:
+    """The state after so many steps.  A step is linear in the bits, so it is squared as a matrix of 64 columns."""
+
+    def apply(columns: list[int], v: int) -> int:
+        out = 0
+        while v:
+            out ^= columns[(v & -v).bit_length() - 1]
+            v &= v - 1
+        return out
+
+    power = [_xorshift(1 << i) for i in range(64)]
+    while steps:
+        if steps & 1:
+            x = apply(power, x)
+        power = [apply(power, c) for c in power]
+        steps >>= 1
+    return x
+
+
+def drawn(n: int, sample: int, seed: int = SEED) -> list[int]:
+    """The sample-th order (from 0) of n places: xorshift64* and Fisher-Yates, one sample going on from the one before."""
+    x = _ahead(seed or 0x9E3779B97F4A7C15, sample * max(0, n - 1))
+    order = list(range(n))
+    for i in range(n - 1, 0, -1):
+        x ^= x << 13 & MASK
+        x ^= x >> 7
+        x ^= x << 17 & MASK
+        j = (x * 0x2545F4914F6CDD1D & MASK) % (i + 1)
+        order[i], order[j] = order[j], order[i]
+    return order
+
+
 def shuffles(files: list[str], sizes: list[int], seed: int = SEED, samples: int = SAMPLES) -> list[list[tuple[str, int]]]:
-    """Fixed draws that keep the batch sizes: xorshift64* and Fisher-Yates."""
-    mask, out = (1 << 64) - 1, []
-    x = seed or 0x9E3779B97F4A7C15
+    """Fixed draws that keep the batch sizes."""
     batch = [b for b, n in enumerate(sizes) for _ in range(n)]
-    for _ in range(max(1, samples)):
-        order = list(files)
-        for i in range(len(order) - 1, 0, -1):
-            x ^= x << 13 & mask
-            x ^= x >> 7
-            x ^= x << 17 & mask
-            j = (x * 0x2545F4914F6CDD1D & mask) % (i + 1)
-            order[i], order[j] = order[j], order[i]
-        out.append(list(zip(order, batch, strict=True)))
-    return out
+    return [
+        [(files[i], b) for i, b in zip(drawn(len(files), k, seed), batch, strict=True)] for k in range(max(1, samples))
+    ]
 
 
-def cohesion(units: list[Unit], edges: DataFrame, seed: int = SEED, samples: int = SAMPLES) -> dict:
-    """Actual cohesion of the batches against the mean of random batches of the same sizes."""
-    batches = [u.members for u in units if u.kind == "batch"]
-    files = sorted(m for b in batches for m in b)
-    if not files:
+def _numbered(files: DataFrame, column: str) -> DataFrame:
+    """files with ``place``, from 0 in the order of the column."""
+    at = F.monotonically_increasing_id()
+    ranked = cut(files.orderBy(column).withColumn("part", F.shiftright(at, 33)).withColumn("at", at.bitwiseAND(F.lit((1 << 33) - 1))))
+    before, begin = [], 0
+    for part, n in sorted((r["part"], r["n"]) for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        before.append((part, begin))
+        begin += n
+    offset = files.sparkSession.createDataFrame(before, "part long, begin long")
+    return ranked.join(F.broadcast(offset), "part").select(*files.columns, (F.col("at") + F.col("begin")).alias("place"))
+
+
+def cohesion_rows(plan: DataFrame, edges: DataFrame, seed: int = SEED, samples: int = SAMPLES) -> dict:
+    """Actual cohesion of the batches of a plan against the mean of random batches of the same sizes.
+
+    Each random draw is made in a task of its own, over places of the files in the order of their names.
+    """
+    batches = plan.where("kind = 'batch'").select("unit", "members")
+    size = batches.orderBy("unit").select(F.size("members").alias("n")).toArrow()["n"].to_numpy().astype(np.int64)
+    if not len(size):
         return {"actual": 0.0, "baseline": 0.0, "ratio": 1.0, "batched_files": 0, "coupling_edges": 0}
+    files, samples = int(size.sum()), max(1, samples)
+
+    def run(every: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = np.repeat(np.arange(len(size)), size)
+        for k in (k for asked in every for k in asked.column(0).to_pylist()):
+            order = np.array(drawn(files, k, seed), np.int64)
+            for at in range(0, files, 1 << 16):
+                own = slice(at, at + (1 << 16))
+                n = len(order[own])
+                columns = [pa.array(np.full(n, k + 1, np.int32)), pa.array(order[own]), pa.array(batch[own])]
+                yield pa.RecordBatch.from_arrays(columns, ["sample", "file", "batch"])
+
     spark = edges.sparkSession
-    drawn = shuffles(files, [len(b) for b in batches], seed, samples)
-    rows = [(0, m, i) for i, b in enumerate(batches) for m in b]
-    rows += [(k, f, b) for k, own in enumerate(drawn, 1) for f, b in own]
-    assigned = spark.createDataFrame(rows, "sample int, file string, batch long")
-    found = {r["sample"]: (r["mq"], r["edges"]) for r in weighted_cohesion(numbered_imports(edges), assigned).collect()}
+    ship(spark)
+    members = _numbered(batches.select("unit", F.explode("members").alias("name")), "name")
+    # a unit is told by its number here, a drawn batch by its place: only equality within a sample counts
+    own = cut(members.select(F.lit(0).alias("sample"), F.col("place").alias("file"), F.col("unit").cast("long").alias("batch"), "name"))
+    place = own.select("name", "file")
+    imports = (
+        numbered_imports(edges)
+        .join(place.toDF("source", "s"), "source", "left")
+        .join(place.toDF("target", "t"), "target", "left")
+        .select(F.col("s").alias("source"), F.col("t").alias("target"), "edge")
+    )
+    random = spark.range(samples).repartition(samples, "id").mapInArrow(run, "sample int, file long, batch long")
+    assigned = own.drop("name").unionByName(random)
+    found = {r["sample"]: (r["mq"], r["edges"]) for r in weighted_cohesion(cut(imports), cut(assigned)).collect()}
     actual, coupling = found[0]
-    baseline = sum(found[k][0] for k in range(1, len(drawn) + 1)) / len(drawn)
+    baseline = sum(found[k][0] for k in range(1, samples + 1)) / samples
     ratio = actual / baseline if baseline > 0 else ONLY_ACTUAL if actual > 0 else 1.0
-    return {"actual": actual, "baseline": baseline, "ratio": ratio, "batched_files": len(files), "coupling_edges": coupling}
+    return {"actual": actual, "baseline": baseline, "ratio": ratio, "batched_files": files, "coupling_edges": coupling}
+
+
+def cohesion(units: list[Unit], edges: DataFrame, seed: int = SEED, samples: int = SAMPLES) -> dict:
+    """cohesion_rows of a plan that is here."""
+    return cohesion_rows(plan_frame(edges.sparkSession, units), edges, seed, samples)
 
 
 def cohesion_passes(found: dict) -> bool:

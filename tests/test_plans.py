@@ -151,6 +151,43 @@ def test_draws_are_fixed_and_keep_sizes():
     assert all(sorted(f for f, _ in x) == ["a", "b", "c", "d"] and sorted(b for _, b in x) == [0, 0, 0, 1] for x in a)
 
 
+def test_draws_go_on_from_one_another():
+    x, mask = 7, (1 << 64) - 1
+    for k in range(5):
+        order = list(range(30))
+        for i in range(29, 0, -1):
+            x ^= x << 13 & mask
+            x ^= x >> 7
+            x ^= x << 17 & mask
+            j = (x * 0x2545F4914F6CDD1D & mask) % (i + 1)
+            order[i], order[j] = order[j], order[i]
+        assert decompose.drawn(30, k, 7) == order
+
+
+def plain_mq(batch, edges):
+    inner = sum(batch.get(a) is not None and batch.get(a) == batch.get(b) for a, b in edges)
+    ends = sum(1 if batch.get(a) is not None and batch.get(a) == batch.get(b) else (a in batch) + (b in batch) for a, b in edges)
+    return inner / ends, ends
+
+
+def test_cohesion_query_of_many_files(spark, tmp_path):
+    from graphloom.plans import catalogue
+
+    spark.range(20_100).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    lines = spark.range(4_000).selectExpr("id DIV 2 AS l_orderkey", "id % 2 + 1 AS l_linenumber", "id * 31 % 20100 AS l_partkey", "0.1D AS l_discount", "'A' AS l_returnflag")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    row = catalogue.QUERIES["cohesion"](spark, str(tmp_path)).first()
+    name = lambda i: f"file:b{i % 20}/p{i}"
+    edges = {(name(2 * k * 31 % 20_100), name((2 * k + 1) * 31 % 20_100)) for k in range(2_000)}
+    plan = catalogue.QUERIES["decompose_plan"](spark, str(tmp_path)).orderBy("unit").collect()
+    batches = [r.members for r in plan if r.kind == "batch"]
+    assert row.batched_files == sum(map(len, batches)) > 20_000
+    actual, ends = plain_mq({m: i for i, own in enumerate(batches) for m in own}, edges)
+    assert (row.actual, row.coupling_edges) == (pytest.approx(actual), ends)
+    drawn = decompose.shuffles(sorted(m for own in batches for m in own), [len(own) for own in batches], samples=20)
+    assert row.baseline == pytest.approx(sum(plain_mq(dict(x), edges)[0] for x in drawn) / 20)
+
+
 def test_weighted_cohesion(spark):
     imports = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("c", "x", 2), ("x", "y", 3)], "source string, target string, edge long")
     assigned = spark.createDataFrame([(0, "a", 0), (0, "b", 0), (0, "c", 1)], "sample int, file string, batch long")
