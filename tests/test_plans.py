@@ -207,6 +207,24 @@ def test_communities(spark):
     assert community.deviation(files.limit(1), imports)["deviation"] == 0.0
 
 
+def test_communities_by_component(spark):
+    rng = random.Random(5)
+    pairs = [(f"{g}{rng.randrange(12):02}", f"{g}{rng.randrange(12):02}") for g in "abcdefgh" for _ in range(rng.randrange(1, 30))]
+    pairs += [("a01", "b01"), ("c02", "d03")]
+    files = spark.createDataFrame([(f"{g}{i:02}",) for g in "abcdefghi" for i in range(12)], "id string")
+    imports = spark.createDataFrame(pairs, "source string, target string")
+    one, many = (dict(map(tuple, community.communities(files, imports, kernel).collect())) for kernel in (1000, 3))
+    assert one == many and len(one) == 108 and len(set(one.values())) < 80
+
+
+def test_communities_of_more_pairs_than_one_task_takes(spark):
+    k = 520_000
+    imports = spark.range(k).selectExpr("concat('a', id) AS source", "concat('b', id) AS target")
+    files = imports.selectExpr("source AS id").unionByName(imports.selectExpr("target AS id"))
+    found = community.communities(files, imports)
+    assert found.count() == 2 * k and found.select("community").distinct().count() == k
+
+
 def test_partition_measures(spark):
     def measures(rows):
         t = partitions.contingency(spark.createDataFrame(rows, "a string, b string"), "a", "b")
