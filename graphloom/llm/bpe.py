@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import documents, id_text, spread, texts
+from graphloom.llm.common import documents, id_text, lean, spread, texts
 
 VOCABULARY = "word_bpe_49k.json"
 WORD_CACHE = 200_000
@@ -305,7 +305,7 @@ def encode(docs: DataFrame, raw: bytes | None = None) -> DataFrame:
                     )
                     found, first, total = [], i + 1, 0
 
-    return spread(id_text(docs)).mapInArrow(run, "doc_id long, ids array<long>")
+    return spread(id_text(docs)).mapInArrow(lean(run), "doc_id long, ids array<long>")
 
 
 def decode(tokens: DataFrame, raw: bytes | None = None) -> DataFrame:
@@ -321,7 +321,7 @@ def decode(tokens: DataFrame, raw: bytes | None = None) -> DataFrame:
                     [batch.column(0).slice(i, 1), pa.array([e.decode(ids)], pa.string())], ["doc_id", "text"]
                 )
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, raw: bytes | None = None) -> DataFrame:
@@ -345,7 +345,7 @@ def digests(docs: DataFrame, raw: bytes | None = None) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return spread(id_text(docs)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(id_text(docs)).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

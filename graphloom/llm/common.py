@@ -7,9 +7,10 @@ text, never the partition.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,6 +78,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
+def give_back() -> None:
+    """Freed memory that the allocators of this process hold goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The pass, which gives memory back when its task ends.
+
+    A worker lives on to the end of the application, and what one stage has
+    freed in it would count as its executor's in all later ones.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def side(df: DataFrame, most: int = 500_000) -> DataFrame:
     """The small side of a join: broadcast if it has at most ``most`` rows, which are counted, else merged."""
     return F.broadcast(df) if df.count() <= most else df.hint("merge")

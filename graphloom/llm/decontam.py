@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LETTERS, Texts, Words, documents, grams, id_text, signed, spread, table, text_key, texts, without, words
+from graphloom.llm.common import LETTERS, Texts, Words, documents, grams, id_text, lean, signed, spread, table, text_key, texts, without, words
 
 WINDOW = 10
 K = 6
@@ -114,7 +114,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, k: int = K) -> DataFram
             yield _scan(texts(batch.column(1)), batch.column(0), None, None, window, k)
 
     rows = items.select(F.col("item_id").cast("string").alias("key"), F.col("text").cast("string").alias("text"))
-    scanned = rows.mapInArrow(run, f"key string, n_words long, found array<{_CANDIDATE_SQL}>")
+    scanned = rows.mapInArrow(lean(run), f"key string, n_words long, found array<{_CANDIDATE_SQL}>")
     return (
         scanned.select(F.col("key").alias("item"), F.explode("found").alias("w"))
         .select("w.size", "w.mark", "w.whole", "w.words", "item")
@@ -150,7 +150,7 @@ def scan(docs: DataFrame, marks: DataFrame, window: int = WINDOW, k: int = K, bi
         for batch in batches:
             yield _scan(texts(batch.column(1)), batch.column(0), sizes, passes, window, k)
 
-    scanned = spread(id_text(docs)).mapInArrow(run, f"key long, n_words long, found array<{_CANDIDATE_SQL}>")
+    scanned = spread(id_text(docs)).mapInArrow(lean(run), f"key long, n_words long, found array<{_CANDIDATE_SQL}>")
     return table(
         scanned.select(F.monotonically_increasing_id().alias("row"), F.col("key").alias("doc_id"), "n_words", "found")
     )

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import LETTERS, cut, documents, hash_bytes, spread, table, texts, words
+from graphloom.llm.common import LETTERS, cut, documents, hash_bytes, lean, spread, table, texts, words
 from graphloom.session import ship
 
 KEY = b"graphloom: replace this key in production"
@@ -403,7 +403,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
     ship(docs.sparkSession)
     text = F.col("text").cast("string")
-    return spread(docs.select(F.xxhash64(text).alias("h"), text.alias("text"))).mapInArrow(run, "h long, kind string, value string")
+    return spread(docs.select(F.xxhash64(text).alias("h"), text.alias("text"))).mapInArrow(lean(run), "h long, kind string, value string")
 
 
 def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -426,7 +426,7 @@ def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
     pending, draw = found.withColumn("draw", F.lit(1)), 1
     taken = late = None
     while True:
-        made = cut(pending.mapInArrow(run, "kind string, value string, draw int, made string"))
+        made = cut(pending.mapInArrow(lean(run), "kind string, value string, draw int, made string"))
         first = made.groupBy("made").agg(F.min(F.struct("kind", "value")).alias("first"))
         good = made.join(first, "made").where((F.struct("kind", "value") == F.col("first"))).drop("first")
         if draw <= MAX_DRAWS:
@@ -508,7 +508,7 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None, count: str | None =
                 columns.append(pa.array(n))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return given.mapInArrow(run, T.StructType(fields))
+    return given.mapInArrow(lean(run), T.StructType(fields))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NOT_SPACE, Texts, Words, documents, hash_bytes, id_text, mix, spread, table, text_key, texts, without, words
+from graphloom.llm.common import NOT_SPACE, Texts, Words, documents, hash_bytes, id_text, lean, mix, spread, table, text_key, texts, without, words
 from graphloom.llm.quality_rules import estimate
 
 DIMENSIONS = 1 << 20
@@ -203,7 +203,7 @@ def vote(docs: DataFrame) -> DataFrame:
                 ["doc_id", "votes", "insults"],
             )
 
-    return spread(id_text(docs)).mapInArrow(run, f"doc_id long, votes {_VOTES}, insults long")
+    return spread(id_text(docs)).mapInArrow(lean(run), f"doc_id long, votes {_VOTES}, insults long")
 
 
 def _posterior(prior: float, ratio: list[dict[int, float]], votes: list[int]) -> float:
@@ -290,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame | None) -> list[tuple[np.ndarray, f
                     ["x", "votes", "insults", "toxic"],
                 )
 
-    found = sample.mapInArrow(run, f"x binary, votes {_VOTES}, insults long, toxic int").collect()
+    found = sample.mapInArrow(lean(run), f"x binary, votes {_VOTES}, insults long, toxic int").collect()
     features = [np.frombuffer(r["x"], np.uint32) for r in found]
     good = np.array([_posterior(prior, ratio, r["votes"]) for r in found], float)
     # toxicity: the list and the labels vote on being clean; where both abstain a document says nothing
@@ -337,7 +337,7 @@ def score(docs: DataFrame, heads: list[tuple[np.ndarray, float]]) -> DataFrame:
                 ["doc_id", "quality", "toxicity", "kept"],
             )
 
-    return spread(id_text(docs)).mapInArrow(run, "doc_id long, quality double, toxicity double, kept boolean")
+    return spread(id_text(docs)).mapInArrow(lean(run), "doc_id long, quality double, toxicity double, kept boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:

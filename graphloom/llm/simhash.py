@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NOT_SPACE, cut, grams, id_text, mix, side, signed, spread, table, text_key, texts, words
+from graphloom.llm.common import NOT_SPACE, cut, grams, id_text, lean, mix, side, signed, spread, table, text_key, texts, words
 from graphloom.session import ship
 
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((fingerprint(t.row(i), shingle) for i in range(len(t))), np.uint64, len(t))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return spread(id_text(docs)).mapInArrow(run, "doc_id long, fp long")
+    return spread(id_text(docs)).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def local_labels(fps: np.ndarray, free: int, distance: int = DISTANCE) -> np.ndarray:
@@ -148,7 +148,7 @@ def links(fps: DataFrame) -> DataFrame:
                         [pa.array(own[moved].view(np.int64)), pa.array(own[labels[moved]].view(np.int64))], ["a", "b"]
                     )
 
-    return buckets.mapInArrow(run, "a long, b long")
+    return buckets.mapInArrow(lean(run), "a long, b long")
 
 
 def _long(x: int):
@@ -252,7 +252,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     text = F.col("text").cast("string")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    return spread(given).mapInArrow(run, "doc_id long, tk long, cls binary, n int, fp long, keys array<long>")
+    return spread(given).mapInArrow(lean(run), "doc_id long, tk long, cls binary, n int, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     own = side(wanted.select("cls", F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_key() == F.col("__tk"))
     given = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(own, same).select("cls", "text")
-    return given.mapInArrow(run, "cls binary, shingles array<int>").groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
+    return given.mapInArrow(lean(run), "cls binary, shingles array<int>").groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
