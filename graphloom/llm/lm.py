@@ -66,7 +66,7 @@ LATER_RATE = 0.05  # once the network is started
 END = hash_bytes(b" ")  # no word has a space
 
 _FLOAT = np.float32
-_GROUP = 8 << 20  # bytes of text that are scored together
+_GROUP = 16 << 20  # bytes of text that are scored together
 
 
 # --- words -----------------------------------------------------------------
@@ -201,30 +201,58 @@ def start(v: Vocabulary, seed: int = 1) -> dict[str, np.ndarray]:
     }
 
 
-def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One step of the unit (update, reset, candidate): the state after it, and the gates."""
+def _halved(x: np.ndarray) -> np.ndarray:
+    """What goes into the gates, halved: a sigmoid is half the hyperbolic tangent of the half, and a half."""
+    x = np.ascontiguousarray(x)
+    x[..., : 2 * HIDDEN] *= 0.5
+    return x
+
+
+def _advance(x, h, both, last, gate, reset, c) -> None:
+    """One step of the unit (update, reset, candidate) into c, the state after it, and gate; x and both are halved for the gates."""
     k = HIDDEN
-    x = x + p["gate_bias"]
-    both = h @ p["gates"][:, : 2 * k]
-    both += x[:, : 2 * k]
-    both *= 0.5
-    np.tanh(both, out=both)
-    both *= 0.5
-    both += 0.5
-    c = (both[:, k:] * h) @ p["gates"][:, 2 * k :]
+    np.matmul(h, both, out=gate)
+    gate += x[:, : 2 * k]
+    np.tanh(gate, out=gate)
+    gate *= 0.5
+    gate += 0.5
+    np.matmul(np.multiply(gate[:, k:], h, out=reset), last, out=c)
     c += x[:, 2 * k :]
     np.tanh(c, out=c)
     c -= h
-    c *= both[:, :k]
+    c *= gate[:, :k]
     c += h
-    return c, both
 
 
-def _log_of(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log of the softmax at one place of each row; logits are used up."""
-    logits -= logits.max(axis=1, keepdims=True)
+def _halved_gates(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    gates = _halved(p["gates"].copy())
+    return np.ascontiguousarray(gates[:, : 2 * HIDDEN]), np.ascontiguousarray(gates[:, 2 * HIDDEN :])
+
+
+def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One step: the state after it, and the gates."""
+    gate, reset, c = np.empty((len(h), 2 * HIDDEN), h.dtype), np.empty_like(h), np.empty_like(h)
+    _advance(_halved(x + p["gate_bias"]), h, *_halved_gates(p), gate, reset, c)
+    return c, gate
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows, by a product."""
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _log_of(state: np.ndarray, weight: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax over state @ weight + bias at one place of each row."""
+    logits = state @ weight
+    logits += bias
     own = logits[np.arange(len(at)), at]
-    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+    if logits.max(initial=0) <= 60:
+        total = _sums(np.exp(logits, out=logits))
+        if total.min(initial=1) > 1e-20:
+            return own - np.log(total)
+        logits = state @ weight + bias
+    top = logits.max(axis=1)
+    return own - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
 
 
 def _by_class(target: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -237,12 +265,12 @@ def _by_class(target: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray
 def log_likelihood(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, state: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each id after its state; of a tail word, that of its class."""
     target = v.class_of[ids]
-    out = _log_of(state @ p["class"] + p["class_bias"], target)
+    out = _log_of(state, p["class"], p["class_bias"], target)
     order, bounds = _by_class(target, v)
     ranked, place, more = state[order], ids[order], np.empty(len(order), out.dtype)
     for c in np.flatnonzero(np.diff(bounds)):
         own = slice(bounds[c], bounds[c + 1])
-        more[own] = _log_of(ranked[own] @ p["word"][c] + p["word_bias"][c], place[own] - c * CLASS_SIZE)
+        more[own] = _log_of(ranked[own], p["word"][c], p["word_bias"][c], place[own] - c * CLASS_SIZE)
     out[order] += more
     return out
 
@@ -272,23 +300,27 @@ def score_rows(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, first:
     rows = len(first) - 1
     out = np.zeros(rows)
     by_size = np.argsort(-(first[1:] - first[:-1]), kind="stable")
-    inputs = np.concatenate([p["input"], p["first"][None]])
+    k = HIDDEN
+    inputs = _halved(np.concatenate([p["input"], p["first"][None]]) + p["gate_bias"])
+    both, last = _halved_gates(p)
+    x, zr = np.empty((SCORING_LANES, 3 * k), _FLOAT), np.empty((SCORING_LANES, 2 * k), _FLOAT)
+    reset = np.empty((SCORING_LANES, k), _FLOAT)
     for g in range(0, rows, SCORING_LANES):
         lanes = Lanes(ids, first, by_size[g : g + SCORING_LANES])
-        h = np.zeros((len(lanes.order), HIDDEN), _FLOAT)
+        h = np.zeros((len(lanes.order), k), _FLOAT)
         before = np.full(len(lanes.order), v.ids)
         for left, block in lanes.windows(WINDOW):
-            h, before = h[:left], before[:left]
-            states, targets, lane = [], [], []
-            for row in block:
-                n = int((row >= 0).sum())  # longest first: lanes that go on are a prefix
-                h = _step(p, inputs[before[:n]], h[:n])[0]
-                before = row[:n]
-                states.append(h)
-                targets.append(before)
-                lane.append(np.arange(n))
-            found = log_likelihood(p, v, np.concatenate(targets), np.concatenate(states))
-            out[lanes.order[:left]] += np.bincount(np.concatenate(lane), found, left)
+            inside = block >= 0
+            bounds = np.concatenate([[0], np.cumsum(inside.sum(axis=1))])
+            states = np.empty((bounds[-1], k), _FLOAT)
+            for t, row in enumerate(block):
+                n = int(bounds[t + 1] - bounds[t])  # longest first: lanes that go on are a prefix
+                h = h[:n]
+                own, c = np.take(inputs, before[:n], axis=0, out=x[:n], mode="clip"), states[bounds[t] : bounds[t + 1]]
+                _advance(own, h, both, last, zr[:n], reset[:n], c)
+                h, before = c, row
+            found = log_likelihood(p, v, block[inside], states)
+            out[lanes.order[:left]] += np.bincount(np.nonzero(inside)[1], found, left)
     return out
 
 
@@ -345,18 +377,18 @@ def _window(p, scale, v: Vocabulary, ids, before, goes_on, block: np.ndarray, h:
     inside = block >= 0
     at = np.maximum(block, 0)
     x_ids = before[at]
-    x = (p["input"] + p["gate_bias"])[x_ids]
+    x = np.take(_halved(p["input"] + p["gate_bias"]), x_ids, axis=0)
     on = goes_on[at][:, :, None]
     old, zr = np.empty((steps, lanes, k), _FLOAT), np.empty((steps, lanes, 2 * k), _FLOAT)
     reset, c, state = (np.empty((steps, lanes, k), _FLOAT) for _ in range(3))
-    both, last = p["gates"][:, : 2 * k], p["gates"][:, 2 * k :]
+    both, last = p["gates"][:, : 2 * k], np.ascontiguousarray(p["gates"][:, 2 * k :])
+    half = _halved_gates(p)[0]
     h = h[:lanes]
     for t in range(steps):
         np.multiply(h, on[t], out=old[t])
         g = zr[t]
-        np.matmul(old[t], both, out=g)
+        np.matmul(old[t], half, out=g)
         g += x[t, :, : 2 * k]
-        g *= 0.5
         np.tanh(g, out=g)
         g *= 0.5
         g += 0.5
@@ -405,7 +437,8 @@ def _window(p, scale, v: Vocabulary, ids, before, goes_on, block: np.ndarray, h:
     begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     d = np.add.reduceat(dx[order], begin, axis=0)
     _update(p["input"], scale["input"], ranked[begin], np.clip(d * norm, -1, 1), rate)
-    for number, dw, db in grad["words"]:
+    if grad["words"]:
+        number, dw, db = (np.stack(x) for x in zip(*grad["words"], strict=True))  # one update for all
         _update(p["word"], scale["word"], number, np.clip(dw * norm, -1, 1), rate)
         _update(p["word_bias"], scale["word_bias"], number, np.clip(db * norm, -1, 1), rate)
     return h
@@ -424,7 +457,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     """In place.  Biases start at zero and below and states are at most one, so the cut at 60 is for safety."""
     np.minimum(x, 60, out=x)
     np.exp(x, out=x)
-    x *= 1 / (x.sum(axis=1, keepdims=True) + _FLOAT(1e-30))
+    x *= (1 / (_sums(x) + _FLOAT(1e-30)))[:, None]
     return x
 
 

@@ -126,6 +126,27 @@ def test_gradients_against_differences(monkeypatch):
             assert (up - down) / 2e-5 == pytest.approx(d[at], abs=1e-4)
 
 
+def test_log_of_a_softmax_at_any_size():
+    rng = np.random.default_rng(1)
+    for scale, shift in ((1, 0), (30, 0), (300, 0), (1, -500), (1, 500)):
+        s, w = rng.standard_normal((7, lm.HIDDEN)), rng.standard_normal((lm.HIDDEN, 11)) * scale
+        bias, at = rng.standard_normal(11) + shift, rng.integers(0, 11, 7)
+        x = s @ w + bias
+        top = x.max(axis=1, keepdims=True)
+        want = (x - top)[np.arange(7), at] - np.log(np.exp(x - top).sum(axis=1))
+        assert np.allclose(lm._log_of(s, w, bias, at), want)
+
+
+def test_a_window_updates_all_classes_at_once(monkeypatch):
+    """Each update of a class on its own cost more than its arithmetic."""
+    v, ids, first = tiny(sentences())
+    seen, update = [], lm._update
+    monkeypatch.setattr(lm, "_update", lambda x, *more: (seen.append(x.shape), update(x, *more)))
+    p = lm.start(v, 3)
+    lm.train(p, v, ids, first)
+    assert seen.count(p["word"].shape) <= seen.count(p["gates"].shape)
+
+
 def test_training_lowers_the_loss():
     v, ids, first = tiny(sentences())
     p = lm.start(v, 3)
