@@ -66,6 +66,7 @@ LATER_RATE = 0.05  # once the network is started
 END = hash_bytes(b" ")  # no word has a space
 
 _FLOAT = np.float32
+_RANGE = 1 << 18  # bytes of text that are cut into words together
 _GROUP = 16 << 20  # bytes of text that are scored together
 
 
@@ -87,16 +88,24 @@ class Tokens:
     """Hashes and tail classes of the words of a range of rows; each row ends with END."""
 
     def __init__(self, t: Texts, a: int, b: int):
+        parts = [self._some(t, x, y) for x, y in t.chunks(_RANGE, a, b)]
+        self.hash = np.concatenate([np.zeros(0, np.uint64), *(h for h, _, _ in parts)])
+        self.tail = np.concatenate([np.zeros(0, np.int64), *(tail for _, tail, _ in parts)])
+        self.first = np.cumsum(np.concatenate([[0], *(n for _, _, n in parts)]).astype(np.int64))
+
+    @staticmethod
+    def _some(t: Texts, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, tail classes, and the tokens of each row, of a range that is small enough for a processor's cache."""
         w = words(t, a, b, NOT_SPACE)
         n = len(w) + b - a
         ends = w.first[1:] + np.arange(b - a)
         is_word = np.ones(n, bool)
         is_word[ends] = False
-        self.hash = np.full(n, END, np.uint64)
-        self.hash[is_word] = w.hash
-        self.tail = np.zeros(n, np.int64)
-        self.tail[is_word] = tail_class(w.bytes, w.start, w.end)
-        self.first = np.concatenate([[0], ends + 1])
+        h = np.full(n, END, np.uint64)
+        h[is_word] = w.hash
+        tail = np.zeros(n, np.int64)
+        tail[is_word] = tail_class(w.bytes, w.start, w.end)
+        return h, tail, np.diff(ends, prepend=-1)
 
 
 def training(docs: DataFrame) -> DataFrame:

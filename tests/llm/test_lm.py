@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents
 
@@ -126,6 +127,15 @@ def test_gradients_against_differences(monkeypatch):
             assert (up - down) / 2e-5 == pytest.approx(d[at], abs=1e-4)
 
 
+def test_tokens_do_not_depend_on_the_ranges(monkeypatch):
+    t = lm.texts(pa.array(["a b  c", "", None, "long words here, and more of them", "é x"]))
+    whole = lm.Tokens(t, 0, 5)
+    assert whole.first.tolist() == [0, 4, 5, 6, 14, 17] and len(lm.Tokens(t, 2, 2).hash) == 0
+    monkeypatch.setattr(lm, "_RANGE", 4)
+    parts = lm.Tokens(t, 0, 5)
+    assert all((x == y).all() for x, y in zip(vars(whole).values(), vars(parts).values(), strict=True))
+
+
 def test_log_of_a_softmax_at_any_size():
     rng = np.random.default_rng(1)
     for scale, shift in ((1, 0), (30, 0), (300, 0), (1, -500), (1, 500)):
