@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NOT_SPACE, Texts, Words, documents, hash_bytes, id_text, lean, mix, spread, table, text_key, texts, without, words
+from graphloom.llm.common import NOT_SPACE, Texts, Words, documents, hash_bytes, id_text, lean, mix, spread, text_key, texts, without, words
 from graphloom.llm.quality_rules import estimate
 
 DIMENSIONS = 1 << 20
@@ -251,8 +251,8 @@ def fit(features: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def train(docs: DataFrame, labels: DataFrame | None) -> list[tuple[np.ndarray, float]]:
     """The two heads, good and toxic: weights and bias."""
-    voted = table(vote(docs))
-    patterns = sorted((tuple(r["votes"]), r["count"]) for r in voted.groupBy("votes").count().collect())
+    # counted as they come: files would be written once, read once and start a process each on local disks
+    patterns = sorted((tuple(r["votes"]), r["count"]) for r in vote(docs).groupBy("votes").count().collect())
     prior, ratio = estimate(patterns)
     total = sum(c for _, c in patterns)
     part = min(1.0, SAMPLE / max(1, total))

@@ -1,8 +1,11 @@
+import re
+from pathlib import Path
+
 import numpy as np
 from cases import documents
 
 from graphloom.llm import quality_model
-from graphloom.llm.common import texts
+from graphloom.llm.common import shared_dir, texts
 
 
 def chunk(*found):
@@ -77,3 +80,12 @@ def test_clean_documents_stay_without_labels(spark):
     assert sum(r.toxicity < 0.5 for r in clean) >= 0.9 * len(clean)
     rude = [r for r in rows if r.doc_id >= 1000000]
     assert sum(r.toxicity > 0.5 for r in rude) >= 0.5 * len(rude)
+
+
+def test_training_writes_no_table(spark):
+    shared_dir(spark)  # the first call sets the folder
+    folder = Path(re.sub("^file:/+", "/", shared_dir(spark))) / "tables"
+    before = set(folder.glob("*"))
+    (weight, bias), _ = quality_model.train(documents(spark), None)
+    assert np.isfinite(weight).all() and np.isfinite(bias)
+    assert set(folder.glob("*")) == before
