@@ -515,7 +515,8 @@ def _numbered(files: DataFrame, column: str) -> DataFrame:
 def cohesion_rows(plan: DataFrame, edges: DataFrame, seed: int = SEED, samples: int = SAMPLES) -> dict:
     """Actual cohesion of the batches of a plan against the mean of random batches of the same sizes.
 
-    Each random draw is made in a task of its own, over places of the files in the order of their names.
+    Each random draw is made by one worker, over places of the files in the order of
+    their names.  The import edges with an end in a batch go to every draw.
     """
     batches = plan.where("kind = 'batch'").select("unit", "members")
     size = batches.orderBy("unit").select(F.size("members").alias("n")).toArrow()["n"].to_numpy().astype(np.int64)
@@ -523,33 +524,36 @@ def cohesion_rows(plan: DataFrame, edges: DataFrame, seed: int = SEED, samples:
         return {"actual": 0.0, "baseline": 0.0, "ratio": 1.0, "batched_files": 0, "coupling_edges": 0}
     files, samples = int(size.sum()), max(1, samples)
 
-    def run(every: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = np.repeat(np.arange(len(size)), size)
-        for k in (k for asked in every for k in asked.column(0).to_pylist()):
-            order = np.array(drawn(files, k, seed), np.int64)
-            for at in range(0, files, 1 << 16):
-                own = slice(at, at + (1 << 16))
-                n = len(order[own])
-                columns = [pa.array(np.full(n, k + 1, np.int32)), pa.array(order[own]), pa.array(batch[own])]
-                yield pa.RecordBatch.from_arrays(columns, ["sample", "file", "batch"])
-
-    spark = edges.sparkSession
-    ship(spark)
+    def run(key: tuple[pa.Scalar, ...], imports: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = np.full(files + 1, -1, np.int32)  # the last is the place of files in no batch
+        batch[drawn(files, key[0].as_py(), seed)] = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        inner = ends = 0
+        for edges in imports:
+            a, b = batch[edges.column("source").to_numpy()], batch[edges.column("target").to_numpy()]
+            same = int((a == b).sum())
+            inner += same
+            ends += int((a >= 0).sum() + (b >= 0).sum()) - same
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([inner / ends])], ["sample", "mq"])
+
+    ship(edges.sparkSession)
     members = _numbered(batches.select("unit", F.explode("members").alias("name")), "name")
     # a unit is told by its number here, a drawn batch by its place: only equality within a sample counts
     own = cut(members.select(F.lit(0).alias("sample"), F.col("place").alias("file"), F.col("unit").cast("long").alias("batch"), "name"))
     place = own.select("name", "file")
-    imports = (
+    imports = cut(
         numbered_imports(edges)
         .join(place.toDF("source", "s"), "source", "left")
         .join(place.toDF("target", "t"), "target", "left")
+        .where("s IS NOT NULL OR t IS NOT NULL")
         .select(F.col("s").alias("source"), F.col("t").alias("target"), "edge")
     )
-    random = spark.range(samples).repartition(samples, "id").mapInArrow(run, "sample int, file long, batch long")
-    assigned = own.drop("name").unionByName(random)
-    found = {r["sample"]: (r["mq"], r["edges"]) for r in weighted_cohesion(cut(imports), cut(assigned)).collect()}
-    actual, coupling = found[0]
-    baseline = sum(found[k][0] for k in range(1, samples + 1)) / samples
+    found = weighted_cohesion(imports, own.drop("name")).first()
+    actual, coupling = found["mq"], found["edges"]
+    of_file = lambda c: F.coalesce(c, F.lit(files)).alias(c)
+    every = imports.select(of_file("source"), of_file("target"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    random = every.repartition(samples, "sample").groupBy("sample").applyInArrow(run, "sample int, mq double")
+    # a draw without edges has no row, and no cohesion
+    baseline = sum(r["mq"] for r in random.orderBy("sample").collect()) / samples
     ratio = actual / baseline if baseline > 0 else ONLY_ACTUAL if actual > 0 else 1.0
     return {"actual": actual, "baseline": baseline, "ratio": ratio, "batched_files": files, "coupling_edges": coupling}
 

@@ -900,7 +900,7 @@ def _(spark, d):
 @query("cohesion")
 def _(spark, d):
     plan, edges = _decomposed(spark, d)
-    return spark.createDataFrame([decompose.cohesion_rows(plan, edges, samples=20)])
+    return spark.createDataFrame([decompose.cohesion_rows(plan, edges)])
 
 
 @query("louvain")

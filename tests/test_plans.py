@@ -188,6 +188,41 @@ def test_cohesion_query_of_many_files(spark, tmp_path):
     assert row.baseline == pytest.approx(sum(plain_mq(dict(x), edges)[0] for x in drawn) / 20)
 
 
+def test_cohesion_query_takes_all_draws(spark, tmp_path):
+    from graphloom.plans import catalogue
+
+    spark.range(300).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    lines = spark.range(600).selectExpr("id DIV 2 AS l_orderkey", "id % 2 + 1 AS l_linenumber", "id * 31 % 300 AS l_partkey", "0.1D AS l_discount", "'A' AS l_returnflag")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    row = catalogue.QUERIES["cohesion"](spark, str(tmp_path)).first()
+    name = lambda i: f"file:b{i % 20}/p{i}"
+    edges = {(name(2 * k * 31 % 300), name((2 * k + 1) * 31 % 300)) for k in range(300)}
+    plan = catalogue.QUERIES["decompose_plan"](spark, str(tmp_path)).orderBy("unit").collect()
+    batches = [r.members for r in plan if r.kind == "batch"]
+    files = sorted(m for own in batches for m in own)
+    each = [plain_mq(dict(x), edges)[0] for x in decompose.shuffles(files, [len(own) for own in batches], samples=100)]
+    assert row.batched_files == len(files) and row.baseline == pytest.approx(sum(each) / 100) != pytest.approx(sum(each[:20]) / 20)
+    assert row.ratio == pytest.approx(row.actual / row.baseline)
+
+
+def test_cohesion_of_edges_that_leave_the_batches(spark):
+    rng = random.Random(8)
+    units = [decompose.Unit([f"u{k}/f{i}" for i in range(k % 4 + 1)], ("single", "batch", "batch", "cycle")[k % 4], 1, 0) for k in range(20)]
+    every = [m for u in units for m in u.members] + ["x", "y"]
+    pairs = [(rng.choice(every), rng.choice(every)) for _ in range(200)] + [("u1/f0", "u1/f1")] * 9 + [("u2/f0", "u2/f0"), ("x", "y")]
+    edges = spark.createDataFrame([(*p, "imports") for p in pairs] + [("u1/f0", "u1/f1", "calls")], "source string, target string, edge_type string")
+    batches = [u.members for u in units if u.kind == "batch"]
+    actual, ends = plain_mq({m: i for i, own in enumerate(batches) for m in own}, pairs)
+    drawn = decompose.shuffles(sorted(m for own in batches for m in own), [len(own) for own in batches], 5, 7)
+    found = decompose.cohesion(units, edges.repartition(3), 5, 7)
+    assert (found["actual"], found["coupling_edges"]) == (pytest.approx(actual), ends)
+    assert found["baseline"] == pytest.approx(sum(plain_mq(dict(x), pairs)[0] for x in drawn) / 7)
+    for none in (edges.limit(0), edges.where("source = 'x' AND target = 'y'"), edges.where("edge_type = 'calls'")):
+        found = decompose.cohesion(units, none)
+        assert (found["actual"], found["baseline"], found["ratio"], found["coupling_edges"]) == (0.0, 0.0, 1.0, 0)
+        assert found["batched_files"] == sum(map(len, batches)) and decompose.cohesion_passes(found)
+
+
 def test_weighted_cohesion(spark):
     imports = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("c", "x", 2), ("x", "y", 3)], "source string, target string, edge long")
     assigned = spark.createDataFrame([(0, "a", 0), (0, "b", 0), (0, "c", 1)], "sample int, file string, batch long")
